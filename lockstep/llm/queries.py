@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import op9_mixing
 from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
 
