@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
 from .mixing import op9_mixing
+from .mpeg_audio import op8_mpeg_audio
 from .url_filter import OP10_SQL, op10_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op8_mpeg_audio": op8_mpeg_audio,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
