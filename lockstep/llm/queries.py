@@ -10,14 +10,17 @@ from .bpe import op4_bpe
 from .mixing import op9_mixing
 from .mpeg_audio import op8_mpeg_audio
 from .url_filter import OP10_SQL, op10_url_filter
+from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": OP5_SQL,
     "op10_url_filter": OP10_SQL,
 }
