@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op4_bpe
 from .mixing import op9_mixing
 from .mpeg_audio import op8_mpeg_audio
+from .quality import op3_quality
 from .secrets import op6_secrets
 from .url_filter import OP10_SQL, op10_url_filter
 from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
