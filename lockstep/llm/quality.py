@@ -50,11 +50,13 @@ def features(texts: list[bytes]) -> Features:
     first, last = np.minimum(heads[:-1] + 1, len(hashes)), heads[1:]
     count = heads[1:] - heads[:-1]
     repeats = np.where(count > 1, (same[last] - same[np.minimum(first, last)]) / np.maximum(count - 1, 1), 0.0)
-    raw = np.frombuffer(b" ".join(texts) + b"  ", np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"  ".join(texts) + b"  ", np.uint8).astype(np.uint32)
     grams = ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]) * _ODD >> np.uint32(32 - BITS)).astype(np.int64) + (1 << BITS)
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    gram_heads = np.concatenate([[0], np.cumsum(sizes)])
-    return Features((hashes >> np.uint64(64 - BITS)).astype(np.int64), heads, grams, np.minimum(gram_heads, len(grams)), repeats)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 2
+    own = np.ones(len(grams), bool)
+    own[np.cumsum(sizes)[:-1] - 1] = own[np.cumsum(sizes)[:-1] - 2] = False  # those that begin between two texts
+    gram_heads = np.concatenate([[0], np.cumsum(sizes - 2)])
+    return Features((hashes >> np.uint64(64 - BITS)).astype(np.int64), heads, grams[own], gram_heads, repeats)
 
 
 def _sums(values: np.ndarray, heads: np.ndarray) -> np.ndarray:

@@ -13,7 +13,8 @@ def test_features_by_brute_force():
     assert f.words[0] == f.words[1] != f.words[2] and f.words[3] == f.words[4]
     alone = features([b"A a  b\tB b"])
     assert alone.words.tolist() == f.words[3:8].tolist()
-    assert alone.grams.tolist()[:8] == f.grams[f.gram_heads[2] :].tolist()[:8]
+    assert alone.grams.tolist() == f.grams[f.gram_heads[2] : f.gram_heads[3]].tolist()
+    assert len(f.grams) == sum(map(len, texts)) == f.gram_heads[-1]
 
 
 def test_thresholds_are_ordered_and_grades_found():
