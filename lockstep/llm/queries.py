@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .knn import OP1_SQL, op1_knn
 from .mixing import op9_mixing
 from .mpeg_audio import op8_mpeg_audio
 from .quality import op3_quality
@@ -15,6 +16,7 @@ from .url_filter import OP10_SQL, op10_url_filter
 from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_knn": op1_knn,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
@@ -25,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_knn": OP1_SQL,
     "op5_warc": OP5_SQL,
     "op10_url_filter": OP10_SQL,
 }
