@@ -12,6 +12,7 @@ from .mixing import op9_mixing
 from .mpeg_audio import op8_mpeg_audio
 from .quality import op3_quality
 from .secrets import op6_secrets
+from .suffix_tree import op7_suffix_tree
 from .url_filter import OP10_SQL, op10_url_filter
 from .warc import OP5_SQL, op5_warc
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
