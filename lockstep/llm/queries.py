@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .jaccard_join import OP2_SQL, op2_jaccard
 from .knn import OP1_SQL, op1_knn
 from .mixing import op9_mixing
 from .mpeg_audio import op8_mpeg_audio
@@ -18,6 +19,7 @@ from .warc import OP5_SQL, op5_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_knn": op1_knn,
+    "op2_jaccard": op2_jaccard,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
@@ -30,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_knn": OP1_SQL,
+    "op2_jaccard": OP2_SQL,
     "op5_warc": OP5_SQL,
     "op10_url_filter": OP10_SQL,
 }

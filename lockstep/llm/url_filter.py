@@ -76,6 +76,15 @@ def bloom_blocks(listed: DataFrame, n_blocks: int = 1 << 16) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
+def with_possible(rows: DataFrame, keys: DataFrame, n_blocks: int = 1 << 16) -> DataFrame:
+    """Adds possible: whether the Bloom filter of keys may hold the row's canonical. keys has one column of that name."""
+    found = rows.withColumn("block", _block(F.col("canonical"), n_blocks)).join(F.broadcast(bloom_blocks(keys, n_blocks)), "block", "left")
+    passes = F.lit(True)
+    for i, bit in enumerate(_bits(F.col("canonical"))):
+        passes = passes & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(bit) != 0)
+    return found.withColumn("possible", passes).drop("block", *[f"w{i}" for i in range(WORDS)])
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", n_blocks: int = 1 << 16) -> DataFrame:
     """Judges every row of pages: (id, host, path, rule, verdict, possible).
 
@@ -90,12 +99,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": said})
     keys = listed.select("canonical").where("canonical <> ''").distinct()
-    open_ = rows.where("said is null and canonical <> ''")
-    found = open_.withColumn("block", _block(F.col("canonical"), n_blocks)).join(F.broadcast(bloom_blocks(keys, n_blocks)), "block", "left")
-    passes = F.coalesce(F.col("w0").isNotNull(), F.lit(False))
-    for i, bit in enumerate(_bits(F.col("canonical"))):
-        passes = passes & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(bit) != 0)
-    found = found.withColumn("possible", passes)
+    found = with_possible(rows.where("said is null and canonical <> ''"), keys, n_blocks)
     out = [F.col("id").alias(id_col), "host", "path", "rule"]
     ruled = rows.where("said is not null or canonical = ''").select(*out, F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("boolean").alias("possible"))
     clear = found.where(~F.col("possible")).select(*out, F.lit("allow").alias("verdict"), F.lit(False).alias("possible"))
