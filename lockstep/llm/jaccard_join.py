@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, document_words, grouped_texts, materialise, mix64
+from .common import batches, discard, document_words, grouped_texts, materialise, mix64, release
 from .url_filter import with_possible
 
 SHARED_MOST = 1 << 18
@@ -70,7 +70,7 @@ def _facts(words: int):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(s1), pa.array(s2), none, none], names=names)
                 _, once = np.unique(np.stack([s1, s2], 1), axis=0, return_index=True)
                 token, seen = np.unique(np.concatenate([sets[k] for k in once]), return_counts=True)
-                token, seen = token[seen > 2], seen[seen > 2]
+                token, seen = token[seen > 1], seen[seen > 1]
                 none = pa.nulls(len(token), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(seen)], names=names)
 
@@ -78,14 +78,14 @@ def _facts(words: int):
 
 
 def _prefixes(shared, words: int, percent: int):
-    """(doc_id, n, tokens): the first tokens of each set in the global order; equal sets of one task appear once."""
+    """(doc_id, tokens): the first tokens of each set in the global order; equal sets of one task appear once."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = shared.value
         known: set[bytes] = set()
         for batch in rows:
             for first, texts in grouped_texts(batch.column(1)):
-                at, sizes, out = [], [], []
+                at, out = [], []
                 for k, tokens in enumerate(token_sets(texts, words)):
                     n = len(tokens)
                     mark = tokens.sum(dtype=np.uint64).tobytes() + mix64(tokens).sum(dtype=np.uint64).tobytes()
@@ -98,9 +98,8 @@ def _prefixes(shared, words: int, percent: int):
                         late = often[spot] == tokens
                         tokens = np.concatenate([tokens[~late], tokens[late][np.argsort(rank[spot[late]])]])
                     at.append(first + k)
-                    sizes.append(n)
                     out.append(tokens[: n - -(-percent * n // 100) + 1].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
 
     return run
 
@@ -137,15 +136,27 @@ def components(edges: DataFrame) -> DataFrame:
         edges = materialise(small.distinct(), "small")
 
 
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which a pair of rows has sizes (doc_id, n) that allow a link."""
+    pairs = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
+    return pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least("na", "nb") > 0)).select("a", "b").distinct()
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """The stored whole sets of the documents with these ids: a Bloom filter spares the texts of most others a shuffle."""
+    ids = materialise(ids.distinct(), "ids")
+    near = with_possible(docs.withColumn("canonical", F.col("doc_id")), ids.withColumnRenamed("doc_id", "canonical")).where("possible")
+    near = near.join(ids, "doc_id", "left_semi").select("doc_id", "text")
+    return materialise(near.mapInArrow(_full_sets(words), "doc_id long, n long, tokens array<long>"), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("na") > 0)
-    sized = pairs.join(left.drop("ta"), "a").join(right.drop("tb"), "b").where(fits).select("a", "b").distinct()
     both = F.size(F.array_intersect("ta", "tb"))
-    linked = both * 100 >= (F.col("na") + F.col("nb") - both) * percent
-    return materialise(sized.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), tag)
+    linked = (both > 0) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
+    return materialise(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), tag)
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -162,31 +173,41 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     facts = materialise(rows.mapInArrow(_facts(words), _FACTS), "facts")
     docs_ = facts.where("token is null").select("doc_id", "n", "s1", "s2")
-    often = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 16")
-    often = often.orderBy(F.desc("seen"), "token").limit(SHARED_MOST).toArrow()  # a bounded table; it only orders tokens
-    token = often.column("token").to_numpy().view(np.uint64)
-    order = np.argsort(token)
-    rank = np.argsort(np.lexsort([token, often.column("seen").to_numpy()]))
-    shared = spark.sparkContext.broadcast((token[order], rank[order]))
-
+    often = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 8")
+    often = often.orderBy(F.desc("seen"), "token").limit(SHARED_MOST).toArrow()
     known = rows.where("doc_id is not null")
-    firsts = materialise(known.mapInArrow(_prefixes(shared, words, percent), "doc_id long, n long, tokens array<long>"), "firsts")
-    firsts = firsts.select("doc_id", "n", F.explode("tokens").alias("token"))
+    for turn in (1, 2):
+        token, seen = often.column("token").to_numpy().view(np.uint64), often.column("seen").to_numpy()
+        order = np.argsort(token)
+        rank = np.argsort(np.lexsort([token, seen]))
+        shared = spark.sparkContext.broadcast((token[order], rank[order]))  # at most 2 * SHARED_MOST tokens
+        stored = materialise(known.mapInArrow(_prefixes(shared, words, percent), "doc_id long, tokens array<long>"), "firsts")
+        firsts = stored.select("doc_id", F.explode("tokens").alias("token"))
+        if turn == 1:  # what turns out to be shared among first tokens goes to the end of the order as well
+            more = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 2")
+            more = more.orderBy(F.desc("seen"), "token").limit(SHARED_MOST).toArrow()
+            both = pa.table({c: pa.concat_arrays([*often.column(c).chunks, *more.column(c).chunks]) if len(often) + len(more) else pa.array([], pa.int64()) for c in ("token", "seen")})
+            both = both.group_by("token").aggregate([("seen", "max")])
+            often = pa.table({"token": both.column("token"), "seen": both.column("seen_max")})
+            discard(stored)
     lead = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("lead")).where("df > 1")
-    met = materialise(firsts.join(lead, "token").select("token", "doc_id", "n", "lead"), "met")
-    involved = met.select(F.col("doc_id").alias("canonical")).distinct()
-    near = with_possible(known.withColumn("canonical", F.col("doc_id")), involved).where("possible")
-    sets = near.join(involved, "canonical", "left_semi").select("doc_id", "text")
-    sets = materialise(sets.mapInArrow(_full_sets(words), "doc_id long, n long, tokens array<long>"), "sets")
-
-    links = _verified(met.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent, "star-links")
+    met = materialise(firsts.join(lead, "token").select("token", "doc_id", "lead"), "met")
+    discard(stored)
+    release(spark)
+    sizes = docs_.where("doc_id is not null").select("doc_id", "n").distinct()
+    star = met.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
+    star = materialise(_sized(star, sizes, percent), "star")
+    sets = _sets_of(known, star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))), words)
+    links = _verified(star, sets, percent, "star-links")
+    discard(sets)
+    release(spark)
     same = docs_.where("n > 0 and doc_id is not null")
     equal = same.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     equal = materialise(same.join(equal, ["s1", "s2", "n"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "equal")
     links = links.unionByName(equal)
     grouped = components(links)
 
-    members = sets.select("doc_id", "n").distinct().join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    members = met.select("doc_id").distinct().join(sizes, "doc_id").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = materialise(members.select("doc_id", "n", F.coalesce("component", "doc_id").alias("gid")), "members")
     groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
     placed = met.select("token", "doc_id").distinct().join(members.select("doc_id", "gid").distinct(), "doc_id")
@@ -198,6 +219,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
     wanted = materialise(asking.join(columns, "token").where((F.col("gid") != F.col("g")) & smaller & fits).select("doc_id", "g").distinct(), "candidates")
 
+    asked = wanted.select("doc_id").unionByName(members.join(wanted.select(F.col("g").alias("gid")).distinct(), "gid", "left_semi").select("doc_id"))
+    sets = _sets_of(known, asked, words)
     matrix = sets.join(members.select("doc_id", F.col("gid").alias("g")), "doc_id").join(wanted.select("g").distinct(), "g", "left_semi")
     matrix = materialise(matrix.select("g", F.explode("tokens").alias("token")).distinct(), "matrix")
     asked = wanted.join(sets, "doc_id").select("doc_id", "g", "n", F.explode("tokens").alias("token"))
@@ -207,10 +230,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     inside = placed.select("token", F.col("doc_id").alias("b"), F.col("gid").alias("g"))
     asking = opened.join(placed.select("doc_id", "token"), "doc_id")
     one = asking.join(inside.groupBy("token", "g").agg(F.min("b").alias("b")), ["token", "g"]).select(F.col("doc_id").alias("a"), "b", "g").distinct()
-    found = _verified(one.select("a", "b"), sets, percent, "first-links")
+    found = _verified(_sized(one.select("a", "b").distinct(), sizes, percent), sets, percent, "first-links")
     done = one.join(found, ["a", "b"]).select(F.col("a").alias("doc_id"), "g").distinct()
     rest = asking.join(done, ["doc_id", "g"], "left_anti").join(inside, ["token", "g"]).select(F.col("doc_id").alias("a"), "b").distinct()
-    rest = _verified(rest.join(one.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, "other-links")
+    rest = _sized(rest.join(one.select("a", "b"), ["a", "b"], "left_anti"), sizes, percent)
+    rest = _verified(rest, sets, percent, "other-links")
+    discard(sets)
+    discard(matrix)
+    release(spark)
     grouped = components(links.unionByName(found).unionByName(rest))
     out = docs_.join(grouped, docs_["doc_id"] == grouped["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
