@@ -528,7 +528,7 @@ def cross_scope_pairs(s, d):
 _CALLS = "with calls as (select event_id as id, ts, case when event_type in ('view', 'click') then 'http' else 'mcp' end as surface, event_type as name, case when event_type = 'error' then 'error' else 'ok' end as status, value as duration_ms, user_id::varchar as client from events)"
 
 
-@query("calls_summary", _CALLS + " select surface, status, count(*) as calls, count(distinct client) as clients, round(quantile_cont(duration_ms, 0.5), 1) as p50, round(quantile_cont(duration_ms, 0.95), 1) as p95, epoch(max(ts))::bigint as last_at from calls group by 1, 2")
+@query("calls_summary", _CALLS + " select surface, status, count(*) as calls, count(distinct client) as clients, round(quantile_cont(duration_ms, 0.5), 1) as p50, round(quantile_cont(duration_ms, 0.95), 1) as p95, floor(epoch(max(ts)))::bigint as last_at from calls group by 1, 2")
 def calls_summary(s, d):
     return ev.summary(roles.calls(s, d))
 
@@ -538,12 +538,12 @@ def calls_by_name(s, d):
     return ev.by_name(roles.calls(s, d))
 
 
-@query("calls_timeline", _CALLS + ", spine as (select epoch(timestamp '2024-01-31')::bigint // 3600 - i as hour from range(168) t(i)), seen as (select epoch(ts)::bigint // 3600 as hour, count(*) as calls, count(*) filter (status = 'error') as errors from calls group by 1) select hour * 3600 as hour_start, coalesce(calls, 0) as calls, coalesce(errors, 0) as errors from spine left join seen using (hour)")
+@query("calls_timeline", _CALLS + ", spine as (select epoch(timestamp '2024-01-31')::bigint // 3600 - i as hour from range(168) t(i)), seen as (select floor(epoch(ts))::bigint // 3600 as hour, count(*) as calls, count(*) filter (status = 'error') as errors from calls group by 1) select hour * 3600 as hour_start, coalesce(calls, 0) as calls, coalesce(errors, 0) as errors from spine left join seen using (hour)")
 def calls_timeline(s, d):
     return ev.timeline(roles.calls(s, d), EVENTS_AS_OF, 168)
 
 
-@query("calls_recent", _CALLS + " select id, name, epoch(ts)::bigint as \"at\" from calls order by calls.ts desc, id desc limit 100")
+@query("calls_recent", _CALLS + " select id, name, floor(epoch(ts))::bigint as \"at\" from calls order by calls.ts desc, id desc limit 100")
 def calls_recent(s, d):
     return ev.recent(roles.calls(s, d)).select("id", "name", _secs("at"))
 
