@@ -2,7 +2,8 @@
 
 A document's tokens are 64-bit hashes of its distinct word shingles. Tokens have one global order: those that many
 documents share come last, the others by hash (what counts as shared is found by partial counts and changes only
-the cost). Two sets that link share a token among the first n - ceil(t n) + 1 of each, so only those are shuffled.
+the cost). Two sets that link share a token among the first n - ceil(t n) + 1 of each, so only those are shuffled,
+and it is among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, so pairs that meet only later don't count.
 
 1. Equal sets form one class. Documents that share such a token with others are compared with the smallest document
    of that token: a linear number of pairs, which joins families of copies into groups of similar documents.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import batches, discard, document_words, grouped_texts, materialise, mix64, release
 from .url_filter import with_possible
 
-SHARED_MOST = 1 << 18
+SHARED_MOST = 1 << 20
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -78,14 +79,18 @@ def _facts(words: int):
 
 
 def _prefixes(shared, words: int, percent: int):
-    """(doc_id, tokens): the first tokens of each set in the global order; equal sets of one task appear once."""
+    """(doc_id, early, tokens): the first tokens of each set in the global order; equal sets of one task appear once.
+
+    Of a linked pair the smaller set has the first common token among its first early tokens, as the overlap is at
+    least 2 t / (1 + t) of its size.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = shared.value
         known: set[bytes] = set()
         for batch in rows:
             for first, texts in grouped_texts(batch.column(1)):
-                at, out = [], []
+                at, early, out = [], [], []
                 for k, tokens in enumerate(token_sets(texts, words)):
                     n = len(tokens)
                     mark = tokens.sum(dtype=np.uint64).tobytes() + mix64(tokens).sum(dtype=np.uint64).tobytes()
@@ -98,8 +103,9 @@ def _prefixes(shared, words: int, percent: int):
                         late = often[spot] == tokens
                         tokens = np.concatenate([tokens[~late], tokens[late][np.argsort(rank[spot[late]])]])
                     at.append(first + k)
+                    early.append(n - -(-2 * percent * n // (100 + percent)) + 1)
                     out.append(tokens[: n - -(-percent * n // 100) + 1].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(early, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "early", "tokens"])
 
     return run
 
@@ -181,8 +187,8 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         order = np.argsort(token)
         rank = np.argsort(np.lexsort([token, seen]))
         shared = spark.sparkContext.broadcast((token[order], rank[order]))  # at most 2 * SHARED_MOST tokens
-        stored = materialise(known.mapInArrow(_prefixes(shared, words, percent), "doc_id long, tokens array<long>"), "firsts")
-        firsts = stored.select("doc_id", F.explode("tokens").alias("token"))
+        stored = materialise(known.mapInArrow(_prefixes(shared, words, percent), "doc_id long, early long, tokens array<long>"), "firsts")
+        firsts = stored.select("doc_id", "early", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "token", (F.col("pos") < F.col("early")).alias("early"))
         if turn == 1:  # what turns out to be shared among first tokens goes to the end of the order as well
             more = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 2")
             more = more.orderBy(F.desc("seen"), "token").limit(SHARED_MOST).toArrow()
@@ -190,12 +196,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             both = both.group_by("token").aggregate([("seen", "max")])
             often = pa.table({"token": both.column("token"), "seen": both.column("seen_max")})
             discard(stored)
-    lead = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("lead")).where("df > 1")
-    met = materialise(firsts.join(lead, "token").select("token", "doc_id", "lead"), "met")
+    lead = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("lead"), F.max("early").alias("any")).where("df > 1 and any")
+    met = materialise(firsts.join(lead, "token").select("token", "doc_id", "early", "lead"), "met")
     discard(stored)
     release(spark)
     sizes = docs_.where("doc_id is not null").select("doc_id", "n").distinct()
-    star = met.where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
+    star = met.where("early and doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
     star = materialise(_sized(star, sizes, percent), "star")
     sets = _sets_of(known, star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))), words)
     links = _verified(star, sets, percent, "star-links")
@@ -210,14 +216,14 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     members = met.select("doc_id").distinct().join(sizes, "doc_id").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = materialise(members.select("doc_id", "n", F.coalesce("component", "doc_id").alias("gid")), "members")
     groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    placed = met.select("token", "doc_id").distinct().join(members.select("doc_id", "gid").distinct(), "doc_id")
+    placed = met.groupBy("token", "doc_id").agg(F.max("early").alias("early")).join(members.select("doc_id", "gid").distinct(), "doc_id")
     mixed = placed.groupBy("token").agg(F.min("gid").alias("g0"), F.max("gid").alias("g1")).where("g0 <> g1").select("token")
     placed = materialise(placed.join(mixed, "token", "left_semi"), "placed")
-    columns = placed.select("token", F.col("gid").alias("g")).distinct().join(groups.withColumnRenamed("gid", "g"), "g")
+    columns = placed.groupBy("token", F.col("gid").alias("g")).agg(F.max("early").alias("any")).join(groups.withColumnRenamed("gid", "g"), "g")
     asking = placed.join(members.select("doc_id", "gid", "n"), ["doc_id", "gid"]).join(groups.select("gid", F.col("size").alias("own")), "gid")
     smaller = (F.col("own") < F.col("size")) | ((F.col("own") == F.col("size")) & (F.col("gid") < F.col("g")))
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    wanted = materialise(asking.join(columns, "token").where((F.col("gid") != F.col("g")) & smaller & fits).select("doc_id", "g").distinct(), "candidates")
+    wanted = materialise(asking.join(columns, "token").where((F.col("gid") != F.col("g")) & (F.col("early") | F.col("any")) & smaller & fits).select("doc_id", "g").distinct(), "candidates")
 
     asked = wanted.select("doc_id").unionByName(members.join(wanted.select(F.col("g").alias("gid")).distinct(), "gid", "left_semi").select("doc_id"))
     sets = _sets_of(known, asked, words)
@@ -227,12 +233,12 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     bound = asked.join(matrix, ["g", "token"]).groupBy("doc_id", "g", "n").agg(F.countDistinct("token").alias("most"))
     opened = materialise(bound.where(F.col("most") * 100 >= F.col("n") * percent).select("doc_id", "g"), "opened")
 
-    inside = placed.select("token", F.col("doc_id").alias("b"), F.col("gid").alias("g"))
-    asking = opened.join(placed.select("doc_id", "token"), "doc_id")
+    inside = placed.select("token", F.col("doc_id").alias("b"), F.col("gid").alias("g"), F.col("early").alias("too"))
+    asking = opened.join(placed.select("doc_id", "token", "early"), "doc_id")
     one = asking.join(inside.groupBy("token", "g").agg(F.min("b").alias("b")), ["token", "g"]).select(F.col("doc_id").alias("a"), "b", "g").distinct()
     found = _verified(_sized(one.select("a", "b").distinct(), sizes, percent), sets, percent, "first-links")
     done = one.join(found, ["a", "b"]).select(F.col("a").alias("doc_id"), "g").distinct()
-    rest = asking.join(done, ["doc_id", "g"], "left_anti").join(inside, ["token", "g"]).select(F.col("doc_id").alias("a"), "b").distinct()
+    rest = asking.join(done, ["doc_id", "g"], "left_anti").join(inside, ["token", "g"]).where("early or too").select(F.col("doc_id").alias("a"), "b").distinct()
     rest = _sized(rest.join(one.select("a", "b"), ["a", "b"], "left_anti"), sizes, percent)
     rest = _verified(rest, sets, percent, "other-links")
     discard(sets)
