@@ -573,3 +573,22 @@ def wilson_interval(s, d):
     rows = c.with_eligible(roles.commits(s, d)).groupBy("repo").agg(F.count(F.lit(1)).alias("n"), F.count_if("eligible").alias("h"))
     low, high = text.wilson(F.col("h"), F.col("n"))
     return rows.select("repo", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+# --- replay ----------------------------------------------------------------------------------------------------
+
+
+@query("backtest_hit_rate", BASE + """,
+num as (select repo, commit_id, row_number() over (partition by repo order by committed_at, commit_id) as nr, n from (select repo, commit_id, committed_at, count(*) as n from dated where eligible group by 1, 2, 3)),
+occ as (select repo, commit_id, nr, file_id, n from dated join num using (repo, commit_id)),
+seeds as (select * from occ where nr > 20 and n between 2 and 25),
+sup as (select s.repo, s.commit_id, s.file_id as seed, y.file_id as other, count(*) as n_ab from seeds s join occ x on x.repo = s.repo and x.file_id = s.file_id and x.nr < s.nr
+ join occ y on y.repo = x.repo and y.nr = x.nr and y.file_id <> s.file_id group by 1, 2, 3, 4 having count(*) >= 2),
+top as (select *, row_number() over (partition by repo, commit_id, seed order by n_ab desc, other) as place from sup),
+hit as (select s.repo, s.commit_id, s.file_id as seed, count(o.file_id) as hits from seeds s left join top t on t.repo = s.repo and t.commit_id = s.commit_id and t.seed = s.file_id and place <= 5
+ left join occ o on o.repo = s.repo and o.commit_id = s.commit_id and o.file_id = t.other group by 1, 2, 3)
+select repo, count(*) as prompts, count(*) filter (hits > 0) as hit from hit group by 1""")
+def backtest_hit_rate(s, d):
+    from ..operators import backtest
+
+    return backtest.rates(backtest.replay(c.baskets(*_history(s, d)))).select("repo", "prompts", "hit")
