@@ -1,8 +1,9 @@
 """Secret scans: three base patterns, and a character convolutional network over every other candidate.
 
-Candidates are maximal runs of 12 or more characters of [A-Za-z0-9+/_=-] that hold a letter and a digit and touch no
-base span. The network reads each with its surrounding context (one row of WIDTH bytes and a flag for those that
-belong to the candidate): byte embedding, one convolution, maximum over all places, logistic output. It is trained
+Candidates are runs of 12 or more characters of [A-Za-z0-9+/_=-] that hold a letter and a digit: maximal ones, or what
+base spans leave of them. The network reads each with its surrounding context (one row of WIDTH bytes and a flag for
+those that belong to the candidate; one of more than INSIDE bytes in overlapping windows, of which the highest score
+counts): byte embedding, one convolution, maximum over all places, logistic output. It is trained
 in numpy on labelled findings: rows of a seeded generator of secrets and look-alikes (UUIDs, versions, dates, paths,
 slugs, card numbers, addresses), half of them set in prose of the kind that has no secret nearby. Scores are
 calibrated on held-out findings by Platt's method, and the threshold is the best of those that keep min_recall of
@@ -29,6 +30,7 @@ from .common import batches
 KINDS = ("assign", "access", "hex", "model")
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
+STRIDE = 12
 EMBED, FILTERS, REACH = 8, 24, 5
 MIN_RECALL = 0.95
 LEAST = 12
@@ -69,12 +71,15 @@ def base_spans(data: bytes, raw: np.ndarray) -> list[tuple[int, int, int]]:
 
 def candidates(raw: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end) in bytes of the candidates."""
-    starts, ends = runs(_TOKEN[raw], LEAST)
+    free = _TOKEN[raw]
+    for start, _, end in taken:
+        free[start:end] = False
+    starts, ends = runs(free, LEAST)
     if not len(starts):
         return []
     digits, letters = (np.concatenate([[0], np.cumsum(c[raw])]) for c in (_DIGIT, _LETTER))
     keep = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
-    return [(a, b) for a, b in zip(starts[keep].tolist(), ends[keep].tolist(), strict=True) if not any(s < b and a < e for s, _, e in taken)]
+    return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
 
 
 def window(data: bytes, start: int, end: int) -> np.ndarray:
@@ -88,6 +93,13 @@ def window(data: bytes, start: int, end: int) -> np.ndarray:
     return out
 
 
+def windows(data: bytes, start: int, end: int) -> list[np.ndarray]:
+    """The first window of a candidate, and those that slide over what it does not hold, up to the end."""
+    last = end - INSIDE
+    places = [*range(start + STRIDE, last, STRIDE), last] if last > start else []
+    return [window(data, start, end), *(window(data, a, a + INSIDE) for a in places)]
+
+
 class Network(NamedTuple):
     embed: np.ndarray  # 128 x EMBED
     conv: np.ndarray  # REACH * (EMBED + 1) x FILTERS
@@ -156,7 +168,12 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> tuple[np.ndarray, np.ndar
         lead = f"{rng.choice(key)}{rng.choice([': ', '=', ' is ', ' '])}" if rng.random() < (0.5 if good else 0.15) else f"{prose()}{rng.choice([' ', '. ', ', '])}"
         text = f"{prose()} {lead}".encode()
         tail = f"{rng.choice([' ', ', ', '. ', chr(34)])}{prose()}".encode()
-        rows.append(window(text + value.encode() + tail, len(text), len(text) + len(value.encode())))
+        start, end = len(text), len(text) + len(value.encode())
+        if rng.random() < 0.25:  # at the end of a long run, as a later window sees it
+            text += "".join(f"{word()}{rng.choice('/-_=')}" for _ in range(rng.randint(10, 16))).encode()
+            end = len(text) + len(value.encode())
+            start = max(start, end - INSIDE)
+        rows.append(window(text + value.encode() + tail, start, end))
         labels.append(good)
     return np.stack(rows), np.array(labels, np.float32)
 
@@ -249,10 +266,11 @@ def scan_texts(texts: list[bytes], net: Network | None) -> list[list[tuple[int,
         found.append(base)
         if net is not None:
             for a, b in candidates(raw, base):
-                rows.append(window(data, a, b))
-                owners.append((k, a, b))
+                owners.append((k, a, b, len(rows)))
+                rows += windows(data, a, b)
     if rows:
-        for (k, a, b), p in zip(owners, net.probability(np.stack(rows)), strict=True):
+        best = np.maximum.reduceat(net.probability(np.stack(rows)), [first for *_, first in owners])
+        for (k, a, b, _), p in zip(owners, best, strict=True):
             if p >= net.threshold:
                 found[k] = [*found[k], (a, 3, b)]
     return [sorted(_places(np.frombuffer(data, np.uint8), spans)) for data, spans in zip(texts, found, strict=True)]

@@ -76,3 +76,18 @@ def test_query(spark, sf_dir):
 
 def test_training_repeats():
     assert np.array_equal(labelled_findings(50)[0], labelled_findings(50)[0])
+
+
+def test_secrets_at_the_end_of_long_runs():
+    path = "com/example/some/harmless/folder/of/packages/and/more/classes/v2/"
+    rng = np.random.Generator(np.random.PCG64(3))
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    keys = ["".join(rng.choice(alphabet, 40)) for _ in range(40)]
+    found = lambda value: any(k == 3 for _, k, _ in scan_text(f"see the page {value} for more".encode(), default_network()))
+    assert np.mean([found(path + k) for k in keys]) >= 0.9
+    assert not found(path)
+
+
+def test_what_a_base_span_leaves_of_a_run_is_scored():
+    text = "the key: sk-proj-0123456789abcdef0123Zk8Qd93mNq2XxW7rT5vYb1LcP0Hs end"
+    assert [(k, text[a:b]) for a, k, b in scan_text(text.encode(), default_network())] == [(2, "0123456789abcdef0123"), (3, "Zk8Qd93mNq2XxW7rT5vYb1LcP0Hs")]
