@@ -523,6 +523,47 @@ def cross_scope_pairs(s, d):
     return g.cross_pairs(bumps, side("l_suppkey"), side("l_partkey")).where("n_bumps >= 2").select("upstream_file", "consumer_file", "n_bumps")
 
 
+# The queries above of a filtered subset, over whole tables; their SQL is the same without the filter.
+_EVERY = _BUMPS.format(where="")
+
+
+def _all_edges(s, d):
+    return g.edge_scores(roles.declared(s, d), roles.bumps(s, d), AS_OF)
+
+
+@query("edge_scores_all", ORACLE_SQL["edge_scores"].replace(_FEW, _EVERY))
+def edge_scores_all(s, d):
+    return _all_edges(s, d).select("source", "target", "is_declared", "bump_count", F.round("median_days", 6).alias("median_days"), "score", "rank")
+
+
+@query("impact_downstream_all", ORACLE_SQL["impact_downstream"].replace(_FEW, _EVERY))
+def impact_downstream_all(s, d):
+    top = roles.table(s, d, "nation").agg(F.max("n_name").alias("source"))
+    return _all_edges(s, d).join(F.broadcast(top), "source").select("target", "is_declared", "score").orderBy(F.desc("is_declared"), F.desc("score"), "target").limit(20)  # one row
+
+
+@query("impact_edge_counts_all", ORACLE_SQL["impact_edge_counts"].replace(_FEW, _EVERY))
+def impact_edge_counts_all(s, d):
+    return _all_edges(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("edges"), F.count_if("is_declared").alias("declared"))
+
+
+@query("impact_chains_all", ORACLE_SQL["impact_chains"].replace(_FEW, _EVERY))
+def impact_chains_all(s, d):
+    start = roles.table(s, d, "nation").agg(F.max_by("n_name", "n_nationkey")).first()[0]
+    return g.chains(_all_edges(s, d), start)
+
+
+@query("upstream_chains_all", ORACLE_SQL["upstream_chains"].replace(_FEW, _EVERY))
+def upstream_chains_all(s, d):
+    start = roles.table(s, d, "nation").agg(F.min("n_name")).first()[0]
+    return g.chains(g.upstream(_all_edges(s, d)), start)
+
+
+@query("bump_list_all", ORACLE_SQL["bump_list"].replace(_FEW, _EVERY))
+def bump_list_all(s, d):
+    return g.resolved(roles.bumps(s, d)).select("consumer", "dep", "id", F.round(F.col("adoption_seconds") / 86400.0, 1).alias("adoption_days"))
+
+
 # --- calls -----------------------------------------------------------------------------------------------------
 
 _CALLS = "with calls as (select event_id as id, ts, case when event_type in ('view', 'click') then 'http' else 'mcp' end as surface, event_type as name, case when event_type = 'error' then 'error' else 'ok' end as status, value as duration_ms, user_id::varchar as client from events)"

@@ -82,3 +82,11 @@ def test_stream(spark, sf_dir, tmp_path):
     assert total == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     append(read_calls(spark, sf_dir), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == total
+
+
+def test_whole_tables_behind_the_subsets(spark, sf_dir):
+    from lockstep.plans.catalog import QUERIES
+
+    count = lambda name: QUERIES[name](spark, sf_dir).count()
+    rows = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    assert count("bump_list_all") == rows("lineitem")
