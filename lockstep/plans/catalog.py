@@ -514,6 +514,19 @@ def longest_prefix_owner(s, d):
     return g.owning_module(files, modules)
 
 
+@query("prefix_match_all", ORACLE_SQL["prefix_match"].replace(" where o_orderkey % 3 = 0", ""))
+def prefix_match_all(s, d):
+    orders = roles.table(s, d, "orders")
+    sha = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
+    return g.prefix_match(orders.select(F.col("o_orderkey").alias("id"), F.substring(sha, 1, 16).alias("prefix")), orders.select(sha.alias("sha"))).select("id", "sha")
+
+
+@query("longest_prefix_owner_all", ORACLE_SQL["longest_prefix_owner"].replace(" and length(dir_path) % 2 = 0", ""))
+def longest_prefix_owner_all(s, d):
+    files = roles.paths(s, d)
+    return g.owning_module(files, c.closure(files).where("dir_path <> ''").select(F.col("dir_path").alias("module")))
+
+
 @query("cross_scope_pairs", """with b as (select l_orderkey as id, l_suppkey as up, l_partkey as down from lineitem)
 select y.up as upstream_file, x.down as consumer_file, count(distinct x.id) as n_bumps from b y join b x on x.id = y.id group by 1, 2 having count(distinct x.id) >= 2""")
 def cross_scope_pairs(s, d):

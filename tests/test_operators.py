@@ -90,3 +90,5 @@ def test_whole_tables_behind_the_subsets(spark, sf_dir):
     count = lambda name: QUERIES[name](spark, sf_dir).count()
     rows = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
     assert count("bump_list_all") == rows("lineitem")
+    assert count("prefix_match_all") == rows("orders")
+    assert count("longest_prefix_owner_all") == rows("part")
