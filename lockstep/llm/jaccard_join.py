@@ -1,20 +1,22 @@
 """N-gram Jaccard join with a token-group matrix: exact links between documents, and their connected components.
 
-A document's tokens are 64-bit hashes of its distinct word shingles. Tokens have one global order: those that many
-documents share come last, the others by hash (what counts as shared is found by partial counts and changes only
-the cost). Two sets that link share a token among the first n - ceil(t n) + 1 of each, so only those are shuffled,
-and it is among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller, so pairs that meet only later don't count.
-
-1. Equal sets form one class. Documents that share such a token with others are compared with the smallest document
-   of that token: a linear number of pairs, which joins families of copies into groups of similar documents.
-2. The token-group matrix holds, for each group, the union of its members' tokens, as rows (group, token). A
-   document shares a first token with other groups: those are candidates. The matrix bounds what any member can
-   share with it, |Q and union|; the group is opened only if the bound and the sizes allow a link.
-3. An opened group's members that share a first token with the document are compared: first one for each token,
-   then, where that gave no link, all of them. Group and document need one link, as a group is connected already.
-
-So that no link between components is lost, while pairs inside a family are not expanded. Components come from
-alternating large-star and small-star steps over stored tables; nothing is collected to the driver.
+A document's tokens are 64-bit hashes of its distinct word shingles; equal sets form one class.
+
+1. Most documents are linked with nothing, and signatures tell: sets that link differ in at most H tokens, so of
+   H + x + 1 ranges of token values at least x + 1 hold the same tokens in both. A document stays only if so many of
+   its ranges are met elsewhere. Ranges are cut alike for sets of similar sizes.
+2. Sets of those that stay get one global order of tokens, rare ones first, by exact counts. Sets that link share a
+   token among the first n - ceil(t n) + 1 of each, and its places tell how many more they can share.
+3. For each such token the sets are compared with two of its sets, a linear number of pairs: this joins families
+   of copies into groups of similar documents.
+4. Groups are dealt into sub-groups of sets of one size, about MEMBERS each. The token-group matrix holds the union of a
+   sub-group's tokens as rows (sub-group, token). A set that shares a first token with a sub-group of another
+   group is a candidate; the matrix bounds what any member can share with it, |Q and union|, and the sub-group is
+   opened only if the bound and the size allow a link. Only members of opened ones are compared.
+
+No link between components is lost, while pairs inside a family are not expanded. Components come from alternating
+large-star and small-star steps over stored tables; nothing is collected to the driver. Tokens are equal by their 64-bit
+hashes and sets by 128-bit sums of them, so results are exact up to collisions of these.
 """
 
 from __future__ import annotations
@@ -23,14 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, discard, document_words, grouped_texts, materialise, mix64, release
+from .common import batches, discard, document_words, grouped_texts, materialise, mix64
 from .url_filter import with_possible
 
-SHARED_MOST = 1 << 20
+MEMBERS = 64
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SALT = np.uint64(0x5851F42D4C957F2D)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Classes of sizes for the signatures: each begins at 1.5 times the one before.
+_FIRSTS = [1]
+while _FIRSTS[-1] < 1 << 40:
+    _FIRSTS.append(max(_FIRSTS[-1] + 1, -(-3 * _FIRSTS[-1] // 2)))
+_CLASSES = 128
 
 
 def token_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
@@ -53,71 +62,118 @@ def token_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
-_FACTS = "doc_id long, n long, s1 long, s2 long, token long, seen long"
+def _sums(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes and 128-bit sums of sets."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    s1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+    s2 = np.array([mix64(x ^ _SALT).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
+    return n, s1, s2
 
 
 def _facts(words: int):
-    """A row for each document (size and 128-bit signature of its set), and partial counts of tokens seen often."""
-    names = ["doc_id", "n", "s1", "s2", "token", "seen"]
+    """(doc_id, n, s1, s2) of each document."""
 
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for first, texts in grouped_texts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *map(pa.array, _sums(token_sets(texts, words)))], names=["doc_id", "n", "s1", "s2"])
+
+    return run
+
+
+def _full_sets(words: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for first, texts in grouped_texts(batch.column(1)):
                 sets = token_sets(texts, words)
-                n = np.fromiter(map(len, sets), np.int64, len(sets))
-                s1 = np.array([x.sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                s2 = np.array([mix64(x ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64)
-                none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n), pa.array(s1), pa.array(s2), none, none], names=names)
-                _, once = np.unique(np.stack([s1, s2], 1), axis=0, return_index=True)
-                token, seen = np.unique(np.concatenate([sets[k] for k in once]), return_counts=True)
-                token, seen = token[seen > 1], seen[seen > 1]
-                none = pa.nulls(len(token), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token.view(np.int64)), pa.array(seen)], names=names)
+                tokens = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), *map(pa.array, _sums(sets)), tokens], names=["doc_id", "n", "s1", "s2", "tokens"])
 
     return run
 
 
-def _prefixes(shared, words: int, percent: int):
-    """(doc_id, early, tokens): the first tokens of each set in the global order; equal sets of one task appear once.
+def differences(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each class of sizes: in how many tokens sets up to its largest can differ and link, and the number of ranges."""
+    largest = np.array(_FIRSTS[1:], np.int64) - 1
+    most = 2 * (100 - percent) * largest // (100 + percent)
+    return most, np.where(most > 0, most + 1 + -(-most // 5), 0)
+
 
-    Of a linked pair the smaller set has the first common token among its first early tokens, as the overlap is at
-    least 2 t / (1 + t) of its size.
+def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set's number, class of sizes, signature) for each range of the sets' tokens.
+
+    A set has those of the classes that a set of its size up to 100 / percent times its size can be in.
+    """
+    _, ranges = differences(percent)
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    firsts = np.array(_FIRSTS, np.int64)
+    own = np.searchsorted(firsts, sizes, side="right") - 1
+    tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    mixed = mix64(tokens ^ _SALT)
+    out, step = [], 0
+    while True:
+        kind = own + step
+        asked = (sizes > 0) & ((step == 0) | (firsts[kind] * percent <= sizes * 100))
+        if not asked.any():
+            return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+        m = np.where(asked, ranges[kind], 0)
+        used = m[of] > 0
+        place = (tokens[used] >> np.uint64(32)) * m[of[used]].astype(np.uint64) >> np.uint64(32)
+        heads = np.concatenate([[0], np.cumsum(m)])
+        # a set's tokens are sorted, so those of a range lie together
+        ends = np.cumsum(np.bincount(heads[of[used]] + place.astype(np.int64), minlength=heads[-1]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed[used], dtype=np.uint64)])[np.concatenate([[0], ends])]
+        who = np.repeat(np.arange(len(sets)), m)
+        number = (np.arange(heads[-1]) - heads[who]).astype(np.uint64)
+        out.append((who, kind[who], mix64(np.diff(sums) + number * _STEP + mix64(kind[who].astype(np.uint64)))))
+        step += 1
+
+
+def _signed(words: int, percent: int):
+    """(sig, doc_id, tag): signatures, each once for a group of texts; equal sets of one task appear once.
+
+    tag = class + _CLASSES * what the row counts for when its signature is met elsewhere: 1, or 0 where it was met within the
+    group. What a document met within the group is one row more, -(class + _CLASSES * number), of a signature of its own.
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = shared.value
         known: set[bytes] = set()
         for batch in rows:
-            for first, texts in grouped_texts(batch.column(1)):
-                at, early, out = [], [], []
-                for k, tokens in enumerate(token_sets(texts, words)):
-                    n = len(tokens)
+            for first, texts in grouped_texts(batch.column(1), 1 << 24):
+                ids, sets = [], []
+                for doc_id, tokens in zip(batch.column(0).slice(first, len(texts)).to_pylist(), token_sets(texts, words), strict=True):
                     mark = tokens.sum(dtype=np.uint64).tobytes() + mix64(tokens).sum(dtype=np.uint64).tobytes()
-                    if not n or mark in known:
+                    if not len(tokens) or mark in known:
                         continue
                     if len(known) < 1_000_000:
                         known.add(mark)
-                    if len(often):
-                        spot = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
-                        late = often[spot] == tokens
-                        tokens = np.concatenate([tokens[~late], tokens[late][np.argsort(rank[spot[late]])]])
-                    at.append(first + k)
-                    early.append(n - -(-2 * percent * n // (100 + percent)) + 1)
-                    out.append(tokens[: n - -(-percent * n // 100) + 1].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(early, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "early", "tokens"])
+                    ids.append(doc_id)
+                    sets.append(tokens)
+                if not sets:
+                    continue
+                who, kind, sig = signatures(sets, percent)
+                ids = np.array(ids, np.int64)
+                _, at, where, times = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+                met = times[where] > 1
+                pair, number = np.unique(who[met] * _CLASSES + kind[met], return_counts=True)
+                own = mix64(ids[pair // _CLASSES].view(np.uint64) * _STEP + pair.astype(np.uint64))
+                sigs = np.concatenate([sig[at], own])
+                docs = np.concatenate([ids[who[at]], ids[pair // _CLASSES]])
+                tags = np.concatenate([kind[at] + _CLASSES * (times == 1), -(pair % _CLASSES + _CLASSES * number)])
+                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(docs), pa.array(tags.astype(np.int64))], names=["sig", "doc_id", "tag"])
 
     return run
 
 
-def _full_sets(words: int):
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for first, texts in grouped_texts(batch.column(1)):
-                sets = token_sets(texts, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(map(len, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "tokens"])
-
-    return run
+def _possible(known: DataFrame, words: int, percent: int) -> DataFrame:
+    """The ids of documents that can have a link to another set; of equal sets at least one."""
+    most, ranges = differences(percent)
+    needed = F.array(*(F.lit(int(r - m)) for m, r in zip(most, ranges, strict=True)))
+    rows = known.mapInArrow(_signed(words, percent), "sig long, doc_id long, tag long")
+    rows = rows.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("tag < 0 or times > 1")
+    size = F.abs("tag")
+    met = rows.groupBy("doc_id", (size % _CLASSES).cast("int").alias("kind")).agg(F.sum(F.floor(size / _CLASSES)).alias("met"))
+    return met.where(F.col("met") >= F.element_at(needed, F.col("kind") + 1)).select("doc_id").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,32 +193,52 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large.where("u <> v"), "large")
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
         edges = materialise(small.distinct(), "small")
+        discard(large)
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which a pair of rows has sizes (doc_id, n) that allow a link."""
-    pairs = pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    return pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.least("na", "nb") > 0)).select("a", "b").distinct()
-
-
-def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """The stored whole sets of the documents with these ids: a Bloom filter spares the texts of most others a shuffle."""
-    ids = materialise(ids.distinct(), "ids")
-    near = with_possible(docs.withColumn("canonical", F.col("doc_id")), ids.withColumnRenamed("doc_id", "canonical")).where("possible")
-    near = near.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    return materialise(near.mapInArrow(_full_sets(words), "doc_id long, n long, tokens array<long>"), "sets")
+def _allowed(n: str, left: str, n2: str, left2: str, percent: int) -> Column:
+    """Whether sets of sizes n and n2 can link whose first common token leaves so many tokens, itself included."""
+    sizes = F.least(n, n2) * 100 >= F.greatest(n, n2) * percent
+    return sizes & (F.least(left, left2) * (100 + percent) >= (F.col(n) + F.col(n2)) * percent)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    """The pairs (a, b) of keys whose sets link, as pairs of ids."""
+    left = sets.select(F.col("key").alias("a"), F.col("doc_id").alias("ia"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("key").alias("b"), F.col("doc_id").alias("ib"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
     linked = (both > 0) & (both * 100 >= (F.col("na") + F.col("nb") - both) * percent)
-    return materialise(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b").distinct(), tag)
+    return materialise(pairs.join(left, "a").join(right, "b").where(linked).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct(), tag)
+
+
+def _sets(known: DataFrame, facts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, doc_id, n, tokens): the stored sets that can link, each once; key is one half of the set's sum."""
+    ids = materialise(_possible(known, words, percent), "possible")
+    chosen = facts.join(ids, "doc_id", "left_semi").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    chosen = materialise(chosen, "chosen")
+    # a Bloom filter spares the texts of most others a shuffle
+    near = with_possible(known.withColumn("canonical", F.col("doc_id")), chosen.withColumnRenamed("doc_id", "canonical")).where("possible")
+    near = near.join(chosen, "doc_id", "left_semi").select("doc_id", "text")
+    sets = near.mapInArrow(_full_sets(words), "doc_id long, n long, s1 long, s2 long, tokens array<long>").where("n > 0")
+    sets = materialise(sets.dropDuplicates(["s1", "s2"]).select(F.col("s1").alias("key"), "doc_id", "n", "tokens"), "sets")
+    discard(ids)
+    discard(chosen)
+    return sets
+
+
+def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, n, token, left): the first tokens of each set, those of one set only left out; left: tokens from there on."""
+    spread = sets.select("key", "n", F.explode("tokens").alias("token"))
+    times = spread.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = spread.join(times, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    shared = shared.select("key", "n", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int")).alias("shared"))
+    return shared.select("key", "n", "alone", F.posexplode("shared").alias("pos", "s")).select("key", "n", F.col("s.token").alias("token"), (F.col("n") - F.col("alone") - F.col("pos")).alias("left"))
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -172,80 +248,55 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     case, words divided by ASCII blanks; a text with fewer words has one shingle, its whole sequence). component_id
     is the smallest id reachable by links, the own one included. A text without words, or null, links with nothing.
     Repeated rows stay, a result each, and rows of one id count as one node with all their links. A null id has a
-    null component. Other columns are ignored; an empty table gives an empty one.
+    null component. Other columns are ignored; an empty table gives an empty one. percent is from 1 to 100.
     """
-    spark = docs.sparkSession
-    batches(spark, 2000)
+    batches(docs.sparkSession, 2000)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    facts = materialise(rows.mapInArrow(_facts(words), _FACTS), "facts")
-    docs_ = facts.where("token is null").select("doc_id", "n", "s1", "s2")
-    often = facts.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 8")
-    often = often.orderBy(F.desc("seen"), "token").limit(SHARED_MOST).toArrow()
     known = rows.where("doc_id is not null")
-    for turn in (1, 2):
-        token, seen = often.column("token").to_numpy().view(np.uint64), often.column("seen").to_numpy()
-        order = np.argsort(token)
-        rank = np.argsort(np.lexsort([token, seen]))
-        shared = spark.sparkContext.broadcast((token[order], rank[order]))  # at most 2 * SHARED_MOST tokens
-        stored = materialise(known.mapInArrow(_prefixes(shared, words, percent), "doc_id long, early long, tokens array<long>"), "firsts")
-        firsts = stored.select("doc_id", "early", F.posexplode("tokens").alias("pos", "token")).select("doc_id", "token", (F.col("pos") < F.col("early")).alias("early"))
-        if turn == 1:  # what turns out to be shared among first tokens goes to the end of the order as well
-            more = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("seen")).where("seen > 2")
-            more = more.orderBy(F.desc("seen"), "token").limit(SHARED_MOST).toArrow()
-            both = pa.table({c: pa.concat_arrays([*often.column(c).chunks, *more.column(c).chunks]) if len(often) + len(more) else pa.array([], pa.int64()) for c in ("token", "seen")})
-            both = both.group_by("token").aggregate([("seen", "max")])
-            often = pa.table({"token": both.column("token"), "seen": both.column("seen_max")})
-            discard(stored)
-    lead = firsts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("doc_id").alias("lead"), F.max("early").alias("any")).where("df > 1 and any")
-    met = materialise(firsts.join(lead, "token").select("token", "doc_id", "early", "lead"), "met")
-    discard(stored)
-    release(spark)
-    sizes = docs_.where("doc_id is not null").select("doc_id", "n").distinct()
-    star = met.where("early and doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    star = materialise(_sized(star, sizes, percent), "star")
-    sets = _sets_of(known, star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))), words)
+    facts = materialise(rows.mapInArrow(_facts(words), "doc_id long, n long, s1 long, s2 long"), "facts")
+    same = facts.where("n > 0 and doc_id is not null")
+    sets = _sets(known, same, words, percent)
+    met = materialise(_first_tokens(sets, percent), "met")
+
+    one = F.struct("key", "n", "left")
+    leads = met.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.key <> y.key")
+    leads = leads.select("token", F.explode(F.array("x", "y")).alias("l")).select("token", F.col("l.key").alias("b"), F.col("l.n").alias("nb"), F.col("l.left").alias("lb"))
+    star = met.join(leads, "token").where((F.col("key") != F.col("b")) & _allowed("n", "left", "nb", "lb", percent))
+    star = materialise(star.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), "star")
     links = _verified(star, sets, percent, "star-links")
-    discard(sets)
-    release(spark)
-    same = docs_.where("n > 0 and doc_id is not null")
     equal = same.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
     equal = materialise(same.join(equal, ["s1", "s2", "n"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"), "equal")
-    links = links.unionByName(equal)
-    grouped = components(links)
-
-    members = met.select("doc_id").distinct().join(sizes, "doc_id").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    members = materialise(members.select("doc_id", "n", F.coalesce("component", "doc_id").alias("gid")), "members")
-    groups = members.groupBy("gid").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
-    placed = met.groupBy("token", "doc_id").agg(F.max("early").alias("early")).join(members.select("doc_id", "gid").distinct(), "doc_id")
+    grouped = components(links.unionByName(equal))
+
+    # groups of more than MEMBERS sets of one size are dealt into sub-groups
+    members = sets.select("key", "doc_id", "n").join(grouped.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "n", F.coalesce("component", "doc_id").alias("gid"))
+    sized = members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("of_size"))
+    whole = sized.groupBy("gid").agg(F.sum("of_size").alias("own"))
+    dealt = F.xxhash64("gid", "n", F.pmod(F.xxhash64("key"), F.ceil(F.col("of_size") / MEMBERS)))
+    members = materialise(members.join(sized.join(whole, "gid"), ["gid", "n"]).select("key", "n", "gid", "own", dealt.alias("sub")), "members")
+    placed = met.join(members.select("key", "gid", "own", "sub"), "key")
     mixed = placed.groupBy("token").agg(F.min("gid").alias("g0"), F.max("gid").alias("g1")).where("g0 <> g1").select("token")
     placed = materialise(placed.join(mixed, "token", "left_semi"), "placed")
-    columns = placed.groupBy("token", F.col("gid").alias("g")).agg(F.max("early").alias("any")).join(groups.withColumnRenamed("gid", "g"), "g")
-    asking = placed.join(members.select("doc_id", "gid", "n"), ["doc_id", "gid"]).join(groups.select("gid", F.col("size").alias("own")), "gid")
+    columns = placed.groupBy("token", F.col("sub").alias("s"), F.col("gid").alias("g"), F.col("own").alias("size"), F.col("n").alias("m")).agg(F.max("left").alias("rest"))
     smaller = (F.col("own") < F.col("size")) | ((F.col("own") == F.col("size")) & (F.col("gid") < F.col("g")))
-    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    wanted = materialise(asking.join(columns, "token").where((F.col("gid") != F.col("g")) & (F.col("early") | F.col("any")) & smaller & fits).select("doc_id", "g").distinct(), "candidates")
-
-    asked = wanted.select("doc_id").unionByName(members.join(wanted.select(F.col("g").alias("gid")).distinct(), "gid", "left_semi").select("doc_id"))
-    sets = _sets_of(known, asked, words)
-    matrix = sets.join(members.select("doc_id", F.col("gid").alias("g")), "doc_id").join(wanted.select("g").distinct(), "g", "left_semi")
-    matrix = materialise(matrix.select("g", F.explode("tokens").alias("token")).distinct(), "matrix")
-    asked = wanted.join(sets, "doc_id").select("doc_id", "g", "n", F.explode("tokens").alias("token"))
-    bound = asked.join(matrix, ["g", "token"]).groupBy("doc_id", "g", "n").agg(F.countDistinct("token").alias("most"))
-    opened = materialise(bound.where(F.col("most") * 100 >= F.col("n") * percent).select("doc_id", "g"), "opened")
-
-    inside = placed.select("token", F.col("doc_id").alias("b"), F.col("gid").alias("g"), F.col("early").alias("too"))
-    asking = opened.join(placed.select("doc_id", "token", "early"), "doc_id")
-    one = asking.join(inside.groupBy("token", "g").agg(F.min("b").alias("b")), ["token", "g"]).select(F.col("doc_id").alias("a"), "b", "g").distinct()
-    found = _verified(_sized(one.select("a", "b").distinct(), sizes, percent), sets, percent, "first-links")
-    done = one.join(found, ["a", "b"]).select(F.col("a").alias("doc_id"), "g").distinct()
-    rest = asking.join(done, ["doc_id", "g"], "left_anti").join(inside, ["token", "g"]).where("early or too").select(F.col("doc_id").alias("a"), "b").distinct()
-    rest = _sized(rest.join(one.select("a", "b"), ["a", "b"], "left_anti"), sizes, percent)
-    rest = _verified(rest, sets, percent, "other-links")
-    discard(sets)
-    discard(matrix)
-    release(spark)
-    grouped = components(links.unionByName(found).unionByName(rest))
-    out = docs_.join(grouped, docs_["doc_id"] == grouped["node"], "left")
+    wanted = placed.join(columns, "token").where((F.col("gid") != F.col("g")) & smaller & _allowed("n", "left", "m", "rest", percent))
+    wanted = materialise(wanted.select("key", "n", "s", "m").distinct(), "candidates")
+
+    matrix = sets.join(members.select("key", F.col("sub").alias("s")), "key").join(wanted.select("s").distinct(), "s", "left_semi")
+    matrix = matrix.select("s", F.explode("tokens").alias("token")).distinct()
+    asked = wanted.join(sets.select("key", "tokens"), "key").select("key", "n", "s", "m", F.explode("tokens").alias("token"))
+    bound = asked.join(matrix, ["s", "token"]).groupBy("key", "n", "s", "m").agg(F.count(F.lit(1)).alias("most"))
+    opened = materialise(bound.where((F.col("most") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)).select("key", "s"), "opened")
+
+    asking = opened.join(placed.select("key", "n", "token", "left"), "key")
+    inside = placed.select("token", F.col("sub").alias("s"), F.col("key").alias("b"), F.col("n").alias("nb"), F.col("left").alias("lb"))
+    rest = asking.join(inside, ["token", "s"]).where(_allowed("n", "left", "nb", "lb", percent))
+    rest = rest.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    found = _verified(rest, sets, percent, "found")
+    for done in (sets, met, star, members, placed, wanted, opened):
+        discard(done)
+    grouped = components(links.unionByName(equal).unionByName(found))
+    out = facts.join(grouped, facts["doc_id"] == grouped["node"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
