@@ -6,7 +6,8 @@ that repeat the word before. Ordered thresholds t1 < t2 < ... turn it into
 grades: P(grade >= k) = 1 / (1 + exp(t_k - f)). The weights are shared by all grades; t1 and the logarithms of the
 gaps are fitted with them by maximum likelihood. From these come the expected grade and the tail probability of the
 best grade; documents are kept by the latter, at the highest threshold that still keeps min_kept of the best-graded
-held-out documents.
+held-out documents. The fit runs in one task on a sample that is bounded in rows and in entries at every input size;
+the driver gets the model alone.
 
 Ratings: 0 low quality, 1 good quality but toxic, 2 good and clean.
 """
@@ -21,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, document_words
+from .common import batches, document_words, grouped_texts
 
 GRADES = 3
 FIT_ROWS = 8_000
+FIT_ENTRIES = 16_000_000  # places with counts, 8 bytes each
+BLOCK_ENTRIES = 1 << 20
 MIN_KEPT = 0.995
 BITS = 18
 SIZE = 2 << BITS  # words, then trigrams; one more weight for repeats
@@ -84,7 +87,8 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -60, 60)))
 
 
-_SPARSE = "doc_id long, grade int, held boolean, places array<int>, counts array<float>"
+_SPARSE = "h long, t long, doc_id long, grade int, held boolean, places array<int>, counts array<float>"
+_MODEL = "weights binary, thresholds array<double>, cut double"
 
 
 def rated(labels: DataFrame) -> DataFrame:
@@ -96,32 +100,41 @@ def rated(labels: DataFrame) -> DataFrame:
 def _sparse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text's places and shares; what one weight of the table adds to its score."""
     for batch in rows:
-        f = features([t.encode() if t else b"" for t in batch.column(3).to_pylist()])
-        places, counts = [], []
-        for k in range(batch.num_rows):
-            w, g = f.words[f.word_heads[k] : f.word_heads[k + 1]], f.grams[f.gram_heads[k] : f.gram_heads[k + 1]]
-            wp, wc = np.unique(w, return_counts=True)
-            gp, gc = np.unique(g, return_counts=True)
-            places.append(np.concatenate([wp, gp, [SIZE]]).astype(np.int32))
-            counts.append(np.concatenate([wc / max(len(w), 1) ** 0.5, SCALE * gc / max(len(g), 1), [f.repeats[k]]]).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["doc_id", "grade", "held", "places", "counts"])
+        for first, texts in grouped_texts(batch.column(5)):
+            f = features(texts)
+            places, counts = [], []
+            for k in range(len(texts)):
+                w, g = f.words[f.word_heads[k] : f.word_heads[k + 1]], f.grams[f.gram_heads[k] : f.gram_heads[k + 1]]
+                wp, wc = np.unique(w, return_counts=True)
+                gp, gc = np.unique(g, return_counts=True)
+                places.append(np.concatenate([wp, gp, [SIZE]]).astype(np.int32))
+                counts.append(np.concatenate([wc / max(len(w), 1) ** 0.5, SCALE * gc / max(len(g), 1), [f.repeats[k]]]).astype(np.float32))
+            ids = [c.slice(first, len(texts)) for c in batch.columns[:5]]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))], names=["h", "t", "doc_id", "grade", "held", "places", "counts"])
 
 
 def maximise(grades: np.ndarray, heads: np.ndarray, places: np.ndarray, counts: np.ndarray, steps: int = 120, penalty: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest penalised likelihood, by Adam over all rows; a function of its arguments."""
+    """Weights and thresholds of greatest penalised likelihood, by Adam over all rows; a function of its arguments.
+
+    The entries of row k are those from heads[k] to heads[k + 1], at least one. Sums run over blocks of rows of about
+    BLOCK_ENTRIES entries, so that besides the arguments little memory is needed.
+    """
     w = np.zeros(SIZE + 1)
     free = np.zeros(GRADES - 1)  # t1 and logarithms of gaps
     m1, m2 = np.zeros(len(w) + len(free)), np.zeros(len(w) + len(free))
-    rows = np.repeat(np.arange(len(grades)), np.diff(heads))
+    cuts = np.unique(np.concatenate([np.searchsorted(heads, np.arange(0, heads[-1], BLOCK_ENTRIES)), [len(grades)]]))
+    blocks = [(a, b, slice(heads[a], heads[b]), heads[a:b] - heads[a]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     for step in range(1, steps + 1):
-        f = np.bincount(rows, counts * w[places], len(grades))
+        f = np.concatenate([np.add.reduceat(counts[x] * w[places[x]], at) for _, _, x, at in blocks])
         t = np.concatenate([[-np.inf], free[:1], free[:1] + np.cumsum(np.exp(free[1:])), [np.inf]])
         with np.errstate(over="ignore"):
             low, high = 1 / (1 + np.exp(t[grades] - f)), 1 / (1 + np.exp(t[grades + 1] - f))
         p = np.maximum(low - high, 1e-9)
         d_low, d_high = low * (1 - low) / p, high * (1 - high) / p
         slope = -(d_low - d_high) / len(f)
-        gw = np.bincount(places, slope[rows] * counts, len(w)) + penalty * w
+        gw = penalty * w
+        for a, b, x, at in blocks:
+            gw += np.bincount(places[x], np.repeat(slope[a:b], np.diff(np.append(at, x.stop - x.start))) * counts[x], len(w))
         gt = np.array([(np.where(grades == k, d_low, 0) - np.where(grades == k - 1, d_high, 0)).sum() / len(f) for k in range(1, GRADES)])
         gf = np.concatenate([[gt.sum()], np.exp(free[1:]) * np.cumsum(gt[::-1])[::-1][1:]])
         g = np.concatenate([gw, gf])
@@ -133,32 +146,52 @@ def maximise(grades: np.ndarray, heads: np.ndarray, places: np.ndarray, counts:
     return w.astype(np.float32), np.concatenate([free[:1], free[:1] + np.cumsum(np.exp(free[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_kept: float = MIN_KEPT) -> Model | None:
+def _fitted(fit_entries: int, min_kept: float):
+    """Fits on the rows of one task, in their order, until fit_entries is reached: one row, or none without rows."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grades, held, sizes, places, counts, room = [], [], [], [], [], fit_entries
+        for batch in rows:
+            lengths = batch.column(5).value_lengths().to_numpy()
+            n = int(np.searchsorted(np.cumsum(lengths), room, side="right"))  # 0 once the bound was reached
+            grades.append(batch.column(3).to_numpy()[:n].astype(np.int64))
+            held.append(batch.column(4).to_numpy(zero_copy_only=False)[:n])
+            sizes.append(lengths[:n])
+            places.append(batch.column(5).slice(0, n).flatten().to_numpy().astype(np.int32))
+            counts.append(batch.column(6).slice(0, n).flatten().to_numpy().astype(np.float32))
+            room = room - int(lengths[:n].sum()) if n == len(lengths) else -1
+        if not sum(map(len, grades)):
+            return
+        grades, held, sizes, places, counts = map(np.concatenate, (grades, held, sizes, places, counts))
+        if held.all():
+            held[:] = False
+        own = np.repeat(~held, sizes)
+        weights, thresholds = maximise(grades[~held], np.concatenate([[0], np.cumsum(sizes[~held])]), places[own], counts[own])
+        model, best = Model(weights, thresholds), held & (grades == GRADES - 1)
+        if best.any():
+            own = np.repeat(best, sizes)
+            scores = np.add.reduceat(counts[own] * weights[places[own]].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[best])[:-1]]))
+            tails = np.sort(model.tails(scores)[:, -1])
+            model = model._replace(cut=float(tails[int((1 - min_kept) * len(tails))]))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([thresholds.tolist()]), pa.array([model.cut])], names=["weights", "thresholds", "cut"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, min_kept: float = MIN_KEPT, fit_entries: int = FIT_ENTRIES) -> Model | None:
     """Fits on the labelled documents with the fit_rows smallest hashes of doc_id; every fourth is held out for the cut.
 
-    The bound fit_rows holds at every input size: at most so many rated ids are broadcast and so many sparse rows of
-    at most SIZE entries reach the driver. None where no document is labelled.
+    The bounds hold at every input size: fit_rows rated ids are broadcast, and one task gets the whole texts' entries
+    (a place and a count for each distinct word and trigram) in the order of the hashes until fit_entries are reached.
+    None where no document is labelled.
     """
     batches(docs.sparkSession, 500)
     sample = rated(labels).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "grade").limit(fit_rows)
-    sample = sample.select("doc_id", "grade", (F.pmod("h", F.lit(4)) == 0).alias("held"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "grade", "held", "text")
-    got = rows.mapInArrow(_sparse, _SPARSE).toArrow()
-    if not got.num_rows:
-        return None
-    got = got.take(pa.array(np.lexsort([got.column("grade").to_numpy(), got.column("doc_id").to_numpy()])))
-    held, grades = got.column("held").to_numpy(), got.column("grade").to_numpy().astype(np.int64)
-    parts = got.filter(pa.array(~held))
-    places, counts = (parts.column(c).combine_chunks() for c in ("places", "counts"))
-    heads = np.concatenate([[0], np.cumsum(places.value_lengths().to_numpy())])
-    weights, thresholds = maximise(grades[~held], heads, places.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy().astype(np.float64))
-    model = Model(weights, thresholds)
-    best = got.filter(pa.array(held & (grades == GRADES - 1)))
-    scores = np.array([float(np.dot(weights[np.array(p)], np.array(c, np.float32))) for p, c in zip(best.column("places").to_pylist(), best.column("counts").to_pylist(), strict=True)])
-    if len(scores):
-        tails = np.sort(model.tails(scores)[:, -1])
-        model = model._replace(cut=float(tails[int((1 - min_kept) * len(tails))]))
-    return model
+    sample = sample.select("doc_id", "grade", "h", (F.pmod("h", F.lit(4)) == 0).alias("held"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    rows = rows.select("h", F.xxhash64("text").alias("t"), F.col("doc_id").cast("long"), "grade", "held", "text").mapInArrow(_sparse, _SPARSE)
+    found = rows.repartition(1).sortWithinPartitions("h", "doc_id", "grade", "t").mapInArrow(_fitted(fit_entries, min_kept), _MODEL).first()
+    return found and Model(np.frombuffer(found.weights, np.float32), np.array(found.thresholds), found.cut)
 
 
 _GRADED = pa.schema([("expected_grade", pa.float64()), ("p_best", pa.float64()), ("keep", pa.bool_())])
