@@ -55,10 +55,13 @@ def _wide(a: np.ndarray, width: int) -> np.ndarray:
 
 
 def products(data: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Exact inner products: in doubles where sums stay below 2^53, else in 64-bit integers."""
+    """Exact inner products: in doubles where sums stay below 2^53, else in 64-bit integers; ValueError beyond those."""
     width = max(data.shape[1], queries.shape[1])
     data, queries = _wide(data, width), _wide(queries, width)
-    if float(np.abs(data).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1) < 2.0**53:
+    most = float(np.abs(data).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(width, 1)
+    if most >= 2.0**63:
+        raise ValueError("inner products may exceed 64-bit integers: use a smaller factor")
+    if most < 2.0**53:
         return (data.astype(np.float64) @ queries.T.astype(np.float64)).astype(np.int64)
     return data @ queries.T
 
@@ -185,7 +188,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, factor: float =
     candidate. Rows with a null id, or whose vector is null or holds a null, NaN or infinite component, take no part.
     Rows that repeat id and vector count once as candidates, and each of them as a query; of an id with several
     vectors every vector is a row of its own. Shorter vectors count as padded with zeros. Other columns are
-    ignored; with fewer than k candidates all are given; an empty table gives an empty result.
+    ignored; with fewer than k candidates all are given; an empty table gives an empty result. Where components are so large
+    that a score might not fit into 64 bits the job fails instead of giving wrapped scores.
     """
     spark = embeddings.sparkSession
     batches(spark, 4096)

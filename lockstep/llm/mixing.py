@@ -165,19 +165,24 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document that is taken whole keeps its text as it is, once or, with a line break between, several times;
     of others the taken words stay, in order and with repeats, joined by single spaces. n_chars, where docs has it,
-    is the new text's length; all other columns stay.
+    is the new text's length; all other columns stay, whatever their names.
     """
+    own = "_mix"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = f"_{own}"
     key = ["source_key", "doc_id", "size", "nth"]
+    name = {k: f"{own}_{k}" for k in [*key, "words", "segments"]} | {f"of {k}": f"{own}_of_{k}" for k in key}
     mixed = mix_sources(docs, segments=True, **options).documents
-    nth = lambda order: F.row_number().over(Window.partitionBy(*key[:3]).orderBy(order))
-    mixed = mixed.where("taken > 0").withColumn("nth", nth("offset")).select(*[F.col(k).alias(f"_{k}") for k in key], F.col("segments").alias("_segments"))
-    rows = docs.withColumns({"source_key": source_key(F.col("source")), "size": n_words(F.col("text"))}).withColumn("nth", nth("text"))
-    on = [rows[k].eqNullSafe(mixed[f"_{k}"]) for k in key]
+    nth = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    mixed = mixed.where("taken > 0").withColumn("nth", nth(key[:3], "offset")).select(*[F.col(k).alias(name[f"of {k}"]) for k in key], F.col("segments").alias(name["segments"]))
+    rows = docs.withColumns({name["source_key"]: source_key(F.col("source")), name["doc_id"]: F.col("doc_id"), name["size"]: n_words(F.col("text"))})
+    rows = rows.withColumn(name["nth"], nth([name[k] for k in key[:3]], "text"))
+    segments = F.col(name["segments"])
     words = F.regexp_extract_all(F.col("text"), F.lit(WORD_REGEX), F.lit(0))
-    times = F.transform("_segments", lambda s: s["times"])
-    whole = (F.aggregate("_segments", F.lit(0).cast("long"), lambda n, s: n + s["length"]) == F.col("size")) & (F.array_max(times) == F.array_min(times))
-    some = F.flatten(F.transform("_segments", lambda s: F.flatten(F.array_repeat(F.slice(F.col("words"), (s["start"] + 1).cast("int"), s["length"].cast("int")), s["times"].cast("int")))))
-    rows = rows.join(mixed, on).withColumn("words", F.when(~whole, words))
+    times = F.transform(segments, lambda s: s["times"])
+    whole = (F.aggregate(segments, F.lit(0).cast("long"), lambda n, s: n + s["length"]) == F.col(name["size"])) & (F.array_max(times) == F.array_min(times))
+    some = F.flatten(F.transform(segments, lambda s: F.flatten(F.array_repeat(F.slice(F.col(name["words"]), (s["start"] + 1).cast("int"), s["length"].cast("int")), s["times"].cast("int")))))
+    rows = rows.join(mixed, [rows[name[k]].eqNullSafe(mixed[name[f"of {k}"]]) for k in key]).withColumn(name["words"], F.when(~whole, words))
     text = F.when(whole, F.array_join(F.array_repeat(F.col("text"), F.array_max(times).cast("int")), "\n")).otherwise(F.array_join(some, " "))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lockstep.llm.knn import group_bounds, products, search
+from lockstep.llm.knn import group_bounds, op1_knn, products, search
 
 
 def brute(rows, asks, k):
@@ -65,3 +65,15 @@ def test_products_are_exact(big):
     a = np.array([[big, -3], [5, big]], np.int64)
     b = np.array([[1, 2, 0]], np.int64)
     assert products(a, b).ravel().tolist() == [big - 6, 5 + 2 * big]
+
+
+def test_overflow_fails():
+    with pytest.raises(ValueError, match="64-bit"):
+        products(np.full((1, 2), 10**12, np.int64), np.full((1, 2), 10**12, np.int64))
+
+
+def test_query(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    rows = [(r.vec_id, [float(x) for x in r.embedding] if r.embedding is not None else None) for r in table]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op1_knn(spark, sf_dir).collect())
+    assert got == brute(rows, lambda i: i % 20 == 0, 20)

@@ -1,9 +1,10 @@
+import re
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from lockstep.llm.mixing import mix_documents, mix_sources, op9_mixing, permuted, with_targets
+from lockstep.llm.mixing import BLOCK_WORDS, mix_documents, mix_sources, op9_mixing, permuted, with_targets
 
 
 def refill(sizes, weights, factor, most):
@@ -74,7 +75,45 @@ def test_documents(docs):
     assert words == sorted((r.doc_id or -1, r.taken) for r in taken.collect())
 
 
+def test_documents_keep_clashing_columns(spark):
+    names = ["size", "words", "source_key", "nth", "taken", "offset", "segments", "block", "_mix_size"]
+    rows = [(i, f"w{i} " * (1 + i % 9), f"s{i % 3}", *[f"{n}{i}" for n in names]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mix_documents(docs, block_words=8, shard_slots=10)
+    assert mixed.dtypes == docs.dtypes
+    got = mixed.collect()
+    assert len(got) > 30 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+
+
+def taken_by_hand(rows, slots, block_words):
+    """Words taken of each document: stream offsets from the order of the blocks' documents, visits from the slots."""
+    out = defaultdict(int)
+    for key, doc_id, size, offset in rows:
+        for w in range(offset, offset + size):
+            out[doc_id] += slots.get((key, w // block_words), 0)
+    return out
+
+
 def test_query(spark, sf_dir):
     rows = op9_mixing(spark, sf_dir).collect()
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    assert {r.doc_id: r["size"] for r in rows} == {i: len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", t) if w]) for i, t in texts.items()}
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sizes = {i: len([w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w]) for i, r in texts.items()}
+    assert {r.doc_id: r["size"] for r in rows} == sizes
+    by_source, taken = defaultdict(int), defaultdict(int)
+    for i, r in texts.items():
+        by_source[r.source] += sizes[i]
+    target = refill(by_source, (5, 2, 1), 1.5, 2)
+    for r in rows:
+        source = texts[r.doc_id].source
+        assert r.source_size == by_source[source] and r.target == pytest.approx(target[source]) and 0 <= r.taken <= 2 * r["size"]
+        taken[source] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 2 * BLOCK_WORDS + 1 for s in target)
+    mix = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), segments=True)
+    slots = {(r.source_key, r.block): r["count"] for r in mix.slots.groupBy("source_key", "block").count().collect()}
+    placed = [(r.source_key, r.doc_id, r["size"], r.offset) for r in mix.documents.collect()]
+    ends = defaultdict(int)
+    for key, _, size, offset in sorted(placed, key=lambda r: (r[0], r[3], r[2])):
+        assert offset == ends[key] or size == 0  # the stream of a source has no gap and no overlap
+        ends[key] = max(ends[key], offset + size)
+    hand = taken_by_hand(placed, slots, BLOCK_WORDS)
+    assert {r.doc_id: r.taken for r in rows} == {r.doc_id: hand[r.doc_id] for r in rows}
