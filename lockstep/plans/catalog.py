@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +11,7 @@ from ..operators import events as ev
 from ..operators import graph as g
 from ..sources import roles
 from ..sources.roles import AS_OF, EVENTS_AS_OF
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 _COMMITS = """commits as (
   select c_mktsegment as repo, o_orderkey as commit_id, o_custkey as author_id, o_orderdate as committed_at, o_orderstatus = 'P' as is_replay,
@@ -46,16 +42,6 @@ closure as (
   select file_id, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') as dir_path from files, unnest(range(len(string_split(path, '/')))) as t(i))"""
 
 
-def query(name: str, sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
 def _history(s: SparkSession, d: str, item: str = "l_suppkey") -> tuple[DataFrame, DataFrame]:
     return roles.changes(s, d, item), roles.commits(s, d)
 
@@ -421,17 +407,17 @@ def clusters(s, d):
 _BUMPS = """bumps as (select l_orderkey * 10 + l_linenumber as id, cn.n_name as consumer, sn.n_name as dep, l_shipdate as consumer_at, o_orderdate as upstream_at
  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
  join nation cn on cn.n_nationkey = c_nationkey join nation sn on sn.n_nationkey = s_nationkey {where})"""
-_FEW = _BUMPS.format(where="where l_quantity = 50 and round(l_discount, 2) = 0.1 and l_returnflag = 'A'")
+_EVERY = _BUMPS.format(where="")
 _EDGES = """declared as (select a.n_name as target, b.n_name as source from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey),
 seen as (select dep as source, consumer as target, count(*) as bump_count, quantile_cont(case when upstream_at <= consumer_at then (epoch(consumer_at) - epoch(upstream_at)) / 86400.0 end, 0.5) as median_days, max(consumer_at) as last_at from bumps group by 1, 2),
 edges as (select source, target, d.is_declared is not null as is_declared, coalesce(bump_count, 0) as bump_count, median_days,
  round(least(1, case when d.is_declared is not null then 0.5 else 0.2 end + least(0.3, 0.02 * coalesce(bump_count, 0)) + case when epoch(timestamp '2001-12-01') - epoch(last_at) < 90 * 86400 then 0.2 when epoch(timestamp '2001-12-01') - epoch(last_at) < 365 * 86400 then 0.1 else 0 end)::double, 6) as score
  from (select distinct source, target, true as is_declared from declared) d full join seen using (source, target) where source <> target)"""
-_IMPACT = f"with recursive {_FEW}, {_EDGES}"
+_IMPACT = f"with recursive {_EVERY}, {_EDGES}"
 
 
 def _edges(s, d):
-    return g.edge_scores(roles.declared(s, d), roles.few_bumps(s, d), AS_OF)
+    return g.edge_scores(roles.declared(s, d), roles.bumps(s, d), AS_OF)
 
 
 @query("edge_scores", _IMPACT + " select source, target, is_declared, bump_count, round(median_days, 6) as median_days, score, row_number() over (partition by source order by score desc, target)::int as rank from edges")
@@ -468,26 +454,26 @@ def upstream_chains(s, d):
     return g.chains(g.upstream(_edges(s, d)), start)
 
 
-@query("bump_list", f"with {_FEW} select consumer, dep, id, case when upstream_at <= consumer_at then round((epoch(consumer_at) - epoch(upstream_at)) / 86400.0, 1) end as adoption_days from bumps")
+@query("bump_list", f"with {_EVERY} select consumer, dep, id, case when upstream_at <= consumer_at then round((epoch(consumer_at) - epoch(upstream_at)) / 86400.0, 1) end as adoption_days from bumps")
 def bump_list(s, d):
-    return g.resolved(roles.few_bumps(s, d)).select("consumer", "dep", "id", F.round(F.col("adoption_seconds") / 86400.0, 1).alias("adoption_days"))
+    return g.resolved(roles.bumps(s, d)).select("consumer", "dep", "id", F.round(F.col("adoption_seconds") / 86400.0, 1).alias("adoption_days"))
 
 
-@query("impossible_edges_rejected", f"with {_BUMPS.format(where='')} select consumer, dep, count(*) as bumps, count(*) filter (upstream_at > consumer_at) as impossible from bumps group by 1, 2")
+@query("impossible_edges_rejected", f"with {_EVERY} select consumer, dep, count(*) as bumps, count(*) filter (upstream_at > consumer_at) as impossible from bumps group by 1, 2")
 def impossible_edges_rejected(s, d):
     return g.resolved(roles.bumps(s, d)).groupBy("consumer", "dep").agg(F.count(F.lit(1)).alias("bumps"), F.count_if(~F.col("possible")).alias("impossible"))
 
 
-@query("dependency_summary", f"with {_BUMPS.format(where='')}, x as (select consumer, dep, list_sort(list(epoch(consumer_at) - epoch(upstream_at)) filter (upstream_at <= consumer_at)) as lags, count(*) as bumps from bumps group by 1, 2) select consumer, dep, bumps, lags[len(lags) // 2 + 1]::bigint as upper_median from x")
+@query("dependency_summary", f"with {_EVERY}, x as (select consumer, dep, list_sort(list(epoch(consumer_at) - epoch(upstream_at)) filter (upstream_at <= consumer_at)) as lags, count(*) as bumps from bumps group by 1, 2) select consumer, dep, bumps, lags[len(lags) // 2 + 1]::bigint as upper_median from x")
 def dependency_summary(s, d):
     rows = g.resolved(roles.bumps(s, d)).groupBy("consumer", "dep").agg(F.count(F.lit(1)).alias("bumps"), F.count("adoption_seconds").alias("n"), F.sort_array(F.collect_list("adoption_seconds")).alias("lags"))
     return rows.select("consumer", "dep", "bumps", F.get("lags", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"))
 
 
-@query("asof_ceiling", "with req as (select o_orderkey as id, o_custkey as key, o_orderdate as at, 200000.0 as below from orders where o_orderstatus = 'F') select req.id, max(o_totalprice) as ordinal from req left join orders o on o.o_custkey = req.key and o.o_totalprice < req.below and o.o_orderdate <= req.at group by 1")
+@query("asof_ceiling", "with req as (select o_orderkey as id, o_custkey as key, o_orderdate as at, 200000.0 as below from orders) select req.id, max(o_totalprice) as ordinal from req left join orders o on o.o_custkey = req.key and o.o_totalprice < req.below and o.o_orderdate <= req.at group by 1")
 def asof_ceiling(s, d):
     orders = roles.table(s, d, "orders")
-    req = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("at"), F.lit(200000.0).alias("below"))
+    req = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("at"), F.lit(200000.0).alias("below"))
     rel = orders.select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("ordinal"), F.col("o_orderdate").alias("tagged_at"))
     return g.asof_ceiling(req, rel).select("id", "ordinal")
 
@@ -499,34 +485,21 @@ def unique_version_match(s, d):
     return g.unique_match(req, req.withColumnRenamed("id", "target")).select("id", "target")
 
 
-@query("prefix_match", "with shas as (select md5(o_orderkey::varchar) as sha from orders), req as (select o_orderkey as id, substr(md5(o_orderkey::varchar), 1, 16) as prefix from orders where o_orderkey % 3 = 0) select id, min(sha) as sha from req left join shas on substr(sha, 1, 16) = prefix group by 1")
+@query("prefix_match", "with shas as (select md5(o_orderkey::varchar) as sha from orders), req as (select o_orderkey as id, substr(md5(o_orderkey::varchar), 1, 16) as prefix from orders) select id, min(sha) as sha from req left join shas on substr(sha, 1, 16) = prefix group by 1")
 def prefix_match(s, d):
     orders = roles.table(s, d, "orders")
     sha = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
-    return g.prefix_match(orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.substring(sha, 1, 16).alias("prefix")), orders.select(sha.alias("sha"))).select("id", "sha")
+    return g.prefix_match(orders.select(F.col("o_orderkey").alias("id"), F.substring(sha, 1, 16).alias("prefix")), orders.select(sha.alias("sha"))).select("id", "sha")
 
 
-@query("longest_prefix_owner", PARTS + """, modules as (select distinct dir_path as module from closure where dir_path <> '' and length(dir_path) % 2 = 0)
+@query("longest_prefix_owner", PARTS + """, modules as (select distinct dir_path as module from closure where dir_path <> '')
 select file_id, arg_max(module, length(module)) as module from files join modules on path = module or starts_with(path, module || '/') group by 1""")
 def longest_prefix_owner(s, d):
     files = roles.paths(s, d)
-    modules = c.closure(files).where("dir_path <> '' and length(dir_path) % 2 = 0").select(F.col("dir_path").alias("module"))
+    modules = c.closure(files).where("dir_path <> ''").select(F.col("dir_path").alias("module"))
     return g.owning_module(files, modules)
 
 
-@query("prefix_match_all", ORACLE_SQL["prefix_match"].replace(" where o_orderkey % 3 = 0", ""))
-def prefix_match_all(s, d):
-    orders = roles.table(s, d, "orders")
-    sha = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
-    return g.prefix_match(orders.select(F.col("o_orderkey").alias("id"), F.substring(sha, 1, 16).alias("prefix")), orders.select(sha.alias("sha"))).select("id", "sha")
-
-
-@query("longest_prefix_owner_all", ORACLE_SQL["longest_prefix_owner"].replace(" and length(dir_path) % 2 = 0", ""))
-def longest_prefix_owner_all(s, d):
-    files = roles.paths(s, d)
-    return g.owning_module(files, c.closure(files).where("dir_path <> ''").select(F.col("dir_path").alias("module")))
-
-
 @query("cross_scope_pairs", """with b as (select l_orderkey as id, l_suppkey as up, l_partkey as down from lineitem)
 select y.up as upstream_file, x.down as consumer_file, count(distinct x.id) as n_bumps from b y join b x on x.id = y.id group by 1, 2 having count(distinct x.id) >= 2""")
 def cross_scope_pairs(s, d):
@@ -536,47 +509,6 @@ def cross_scope_pairs(s, d):
     return g.cross_pairs(bumps, side("l_suppkey"), side("l_partkey")).where("n_bumps >= 2").select("upstream_file", "consumer_file", "n_bumps")
 
 
-# The queries above of a filtered subset, over whole tables; their SQL is the same without the filter.
-_EVERY = _BUMPS.format(where="")
-
-
-def _all_edges(s, d):
-    return g.edge_scores(roles.declared(s, d), roles.bumps(s, d), AS_OF)
-
-
-@query("edge_scores_all", ORACLE_SQL["edge_scores"].replace(_FEW, _EVERY))
-def edge_scores_all(s, d):
-    return _all_edges(s, d).select("source", "target", "is_declared", "bump_count", F.round("median_days", 6).alias("median_days"), "score", "rank")
-
-
-@query("impact_downstream_all", ORACLE_SQL["impact_downstream"].replace(_FEW, _EVERY))
-def impact_downstream_all(s, d):
-    top = roles.table(s, d, "nation").agg(F.max("n_name").alias("source"))
-    return _all_edges(s, d).join(F.broadcast(top), "source").select("target", "is_declared", "score").orderBy(F.desc("is_declared"), F.desc("score"), "target").limit(20)  # one row
-
-
-@query("impact_edge_counts_all", ORACLE_SQL["impact_edge_counts"].replace(_FEW, _EVERY))
-def impact_edge_counts_all(s, d):
-    return _all_edges(s, d).groupBy("source").agg(F.count(F.lit(1)).alias("edges"), F.count_if("is_declared").alias("declared"))
-
-
-@query("impact_chains_all", ORACLE_SQL["impact_chains"].replace(_FEW, _EVERY))
-def impact_chains_all(s, d):
-    start = roles.table(s, d, "nation").agg(F.max_by("n_name", "n_nationkey")).first()[0]
-    return g.chains(_all_edges(s, d), start)
-
-
-@query("upstream_chains_all", ORACLE_SQL["upstream_chains"].replace(_FEW, _EVERY))
-def upstream_chains_all(s, d):
-    start = roles.table(s, d, "nation").agg(F.min("n_name")).first()[0]
-    return g.chains(g.upstream(_all_edges(s, d)), start)
-
-
-@query("bump_list_all", ORACLE_SQL["bump_list"].replace(_FEW, _EVERY))
-def bump_list_all(s, d):
-    return g.resolved(roles.bumps(s, d)).select("consumer", "dep", "id", F.round(F.col("adoption_seconds") / 86400.0, 1).alias("adoption_days"))
-
-
 # --- calls -----------------------------------------------------------------------------------------------------
 
 _CALLS = "with calls as (select event_id as id, ts, case when event_type in ('view', 'click') then 'http' else 'mcp' end as surface, event_type as name, case when event_type = 'error' then 'error' else 'ok' end as status, value as duration_ms, user_id::varchar as client from events)"

@@ -64,11 +64,6 @@ def bumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "consumer", "dep", F.col("l_shipdate").cast("timestamp").alias("consumer_at"), F.col("committed_at").alias("upstream_at"), F.col("l_partkey").cast("string").alias("version"), "l_quantity", "l_discount", "l_returnflag", "l_orderkey", "l_linenumber")
 
 
-def few_bumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bumps of largest quantity and discount that came back: a sparse graph."""
-    return bumps(spark, sf_dir).where("l_quantity = 50 and round(l_discount, 2) = 0.1 and l_returnflag = 'A'")
-
-
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations declare those of the same region with the next larger key as dependencies."""
     n = table(spark, sf_dir, "nation")

@@ -31,7 +31,7 @@ def test_names():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in __spark_entry__.catalog.ORACLE_SQL if n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in __spark_entry__.registry.ORACLE_SQL if n not in SLOW])
 def test_against_sql(spark, oracle, sf_dir, name):
     got = __spark_entry__.queries()[name](spark, sf_dir)
     want = oracle.sql(__spark_entry__.oracle_sql()[name])

@@ -61,12 +61,17 @@ def test_scalars(spark):
     keys = {"1.2.0": "1.2", "sub/v1.2.0": "1.2", "release-1.12.1": "1.12.1", "release_0_10": "0.10", "1.0.0-rc1": "1-rc1", "*": None, "latest": None, "": None}
     assert {k: value(text.version_key(F.lit(k))) for k in keys} == keys
     kinds = {"v1.2.3": "tag", "2.0.0-rc.1": "tag", "^1.2.0": "range", "*": "range", "": "range", "a" * 40: "commit", "v0.0.0-20200101000000-abcdefabcdef": "commit"}
-    assert {k: value(text.classify(F.lit(k))) for k in kinds} == kinds
-    assert value(text.floor_of(F.lit(">=2,<3"))) == "2" and value(text.ceiling_of(F.lit(">=2,<3"))) == "3"
+    kinds |= {"1.x": "range", "1.0.0.Final": "range", '"==1.2.3"': "tag", "pin abcdefabcdef": "commit"}
+    assert {k: value(text.classify(F.lit(k))[0]) for k in kinds} == kinds and value(text.classify(F.lit("pin abcdefabcdef"))[1]) == "abcdefabcdef"
+    edges = {">=2,<3": ("2", "3"), "1.0.0-linux": ("1.0.0-linux", None), "[1.0,2.0)": ("1.0", None), "<=4.1.*": (None, "4.1"), "": (None, None)}
+    assert {k: tuple(value(x) for x in text.bounds(F.lit(k))) for k in edges} == edges
     assert value(text.ordinal(F.lit("2.10"))) == [2, 10] and value(text.ordinal(F.lit("1-rc1"))) is None
     assert value(text.issue_keys(F.lit("AB-1234: rotate the seed (#99)"))) == ["AB-1234"] and value(text.pr_refs(F.lit("fix (#99)"))) == ["99"]
-    assert value(text.issue_keys(F.lit("a-1234567 API-version"))) == []
-    assert value(text.trailer(F.lit("x\nChange-Id: I1\nChange-Id: I1"), "Change-Id")) == ["I1"]
+    assert value(text.issue_keys(F.lit("a-1234567 API-version AB-1234567"))) == ["AB-1234567"]
+    assert value(text.trailers(F.lit("x\nChange-Id: I1\nnote: y\nchange-id:I1\nFIXES: "))) == ["change-id: I1"]
+    assert [(f.kind, f.key) for f in value(text.facts(F.lit("AB-1 (#2)"), F.lit(None).cast("string")))] == [("issue_key", "AB-1"), ("pr_ref", "2")]
+    assert [value(text.stem(F.lit(p))) for p in ("spec_runner.rb", "foo-test.js", "x/FooImpl.java", "test.py")] == ["runner", "foo", "foo", "test"]
+    assert value(text.concept_tokens(F.lit("HTTPServerError.java"))) == ["http", "server"]
     assert value(text.extension(F.lit("a/b/C.PY"))) == "py" and value(text.extension(F.lit(".env"))) == ""
     assert value(text.concept_tokens(F.lit("x/ImmutableList.java"))) == ["immutable", "list"]
     assert value(text.stem(F.lit("pkg/core_test.go"))) == "core"
@@ -89,6 +94,6 @@ def test_whole_tables_behind_the_subsets(spark, sf_dir):
 
     count = lambda name: QUERIES[name](spark, sf_dir).count()
     rows = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
-    assert count("bump_list_all") == rows("lineitem")
-    assert count("prefix_match_all") == rows("orders")
-    assert count("longest_prefix_owner_all") == rows("part")
+    assert count("bump_list") == rows("lineitem")
+    assert count("prefix_match") == rows("orders")
+    assert count("longest_prefix_owner") == rows("part")
