@@ -7,8 +7,8 @@ A document's tokens are 64-bit hashes of its distinct word shingles; equal sets
    its ranges are met elsewhere. Ranges are cut alike for sets of similar sizes.
 2. Sets of those that stay get one global order of tokens, rare ones first, by exact counts. Sets that link share a
    token among the first n - ceil(t n) + 1 of each, and its places tell how many more they can share.
-3. For each such token the sets are compared with two of its sets, a linear number of pairs: this joins families
-   of copies into groups of similar documents.
+3. For each such token the sets are compared with at most three of its sets, a linear number of pairs: this joins
+   families of copies into groups of similar documents.
 4. Groups are dealt into sub-groups of sets of one size, about MEMBERS each. The token-group matrix holds the union of a
    sub-group's tokens as rows (sub-group, token). A set that shares a first token with a sub-group of another
    group is a candidate; the matrix bounds what any member can share with it, |Q and union|, and the sub-group is
@@ -231,14 +231,14 @@ def _sets(known: DataFrame, facts: DataFrame, words: int, percent: int) -> DataF
 
 
 def _first_tokens(sets: DataFrame, percent: int) -> DataFrame:
-    """(key, n, token, left): the first tokens of each set, those of one set only left out; left: tokens from there on."""
+    """(key, n, alone, token, left): the first tokens of each set, but for the alone ones that no other has; left: tokens from there on."""
     spread = sets.select("key", "n", F.explode("tokens").alias("token"))
     times = spread.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = spread.join(times, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("shared"))
     alone = F.col("n") - F.size("shared")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     shared = shared.select("key", "n", alone.alias("alone"), F.slice("shared", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int")).alias("shared"))
-    return shared.select("key", "n", "alone", F.posexplode("shared").alias("pos", "s")).select("key", "n", F.col("s.token").alias("token"), (F.col("n") - F.col("alone") - F.col("pos")).alias("left"))
+    return shared.select("key", "n", "alone", F.posexplode("shared").alias("pos", "s")).select("key", "n", "alone", F.col("s.token").alias("token"), (F.col("n") - F.col("alone") - F.col("pos")).alias("left"))
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -258,9 +258,10 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     sets = _sets(known, same, words, percent)
     met = materialise(_first_tokens(sets, percent), "met")
 
-    one = F.struct("key", "n", "left")
-    leads = met.groupBy("token").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x.key <> y.key")
-    leads = leads.select("token", F.explode(F.array("x", "y")).alias("l")).select("token", F.col("l.key").alias("b"), F.col("l.n").alias("nb"), F.col("l.left").alias("lb"))
+    # the set with the smallest share of tokens of its own is nearest to all others; two more make chains rarer
+    one, near = F.struct("key", "n", "left"), F.struct(F.col("alone") / F.col("n"), "key")
+    leads = met.groupBy("token").agg(F.min_by(one, near).alias("x"), F.min(one).alias("y"), F.max(one).alias("z")).where("y.key <> z.key")
+    leads = leads.select("token", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("l")).select("token", F.col("l.key").alias("b"), F.col("l.n").alias("nb"), F.col("l.left").alias("lb"))
     star = met.join(leads, "token").where((F.col("key") != F.col("b")) & _allowed("n", "left", "nb", "lb", percent))
     star = materialise(star.select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct(), "star")
     links = _verified(star, sets, percent, "star-links")
