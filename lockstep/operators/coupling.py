@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import with_measures
 from ..schemas import DRIFT_WINDOW_DAYS, HALF_LIFE_DAYS, MAX_FILES_PER_COMMIT, MIN_PAIR_SUPPORT, RISK_EVIDENCE
+from ..sinks.steps import discard, step
 
 
 def epoch(col: str | Column) -> Column:
@@ -170,18 +171,19 @@ def file_risk(marginals: DataFrame, pair_rows: DataFrame, owners: DataFrame, as_
 def clusters(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(repo, node, label): synchronous label propagation over (repo, a, b, weight); ties go to the smallest label.
 
-    Labels start as the nodes' ids. Every round is stored in the session's checkpoint folder, so that lineage stays
-    short; it ends early when no label moves. A node's votes are summed before one is picked, without a window.
+    Labels start as the nodes' ids. Every round is a stored step, so that lineage stays short; it ends early when no
+    label moves. A node's votes are summed before one is picked, without a window.
     """
-    both = edges.select("repo", F.col("a").alias("node"), F.col("b").alias("peer"), "weight").unionByName(edges.select("repo", F.col("b").alias("node"), F.col("a").alias("peer"), "weight"))
+    both = step(edges.select("repo", F.col("a").alias("node"), F.col("b").alias("peer"), "weight").unionByName(edges.select("repo", F.col("b").alias("node"), F.col("a").alias("peer"), "weight")), "edges")
     labels = both.select("repo", "node").distinct().withColumn("label", F.col("node"))
-    keep = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    stored = None
     for _ in range(rounds):
         votes = both.join(labels.withColumnRenamed("node", "peer"), ["repo", "peer"]).groupBy("repo", "node", "label").agg(F.round(F.sum("weight"), 9).alias("votes"))
         after = votes.groupBy("repo", "node").agg(F.max_by("label", F.struct("votes", -F.col("label"))).alias("label"))
-        after = after.checkpoint() if keep else after.persist()
-        moved = after.join(labels.withColumnRenamed("label", "old"), ["repo", "node"]).where("label <> old").limit(1).count()
-        labels = after
-        if not moved:
+        after = step(after.join(labels.withColumnRenamed("label", "old"), ["repo", "node"], "left").withColumn("moved", ~F.col("label").eqNullSafe(F.col("old"))).drop("old"), "labels")
+        if stored is not None:
+            discard(stored)
+        labels, stored = after.select("repo", "node", "label"), after
+        if after.where("moved").isEmpty():
             break
     return labels
