@@ -1,8 +1,8 @@
 """URL filter: host and path rules first, then a blocked Bloom filter before an exact join with listed URLs.
 
 DataFrame functions only. The listed canonical URLs are hashed into a Bloom filter of 256-bit blocks (eight
-32-bit words, one bit set in each), held as a table of at most n_blocks rows of 40 bytes; it is broadcast, and
-n_blocks bounds it at every input size. Rows that miss a bit are certainly not listed and need no shuffle; the
+32-bit words, one bit set in each), held as a table of at most n_blocks rows of 40 bytes; it is broadcast. n_blocks
+follows the number of listed URLs up to MAX_BLOCKS, which bounds it at every input size (40 MB). Rows that miss a bit are certainly not listed and need no shuffle; the
 others go to an exact join on the canonical URL, which removes the false positives.
 """
 
@@ -26,6 +26,8 @@ RULES = (
 #: Query parameters that say where a visitor came from: utm_ and these.
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 WORDS = 8
+KEYS_A_BLOCK = 16  # 16 bits for each key: about one in 1,000 others passes
+MIN_BLOCKS, MAX_BLOCKS = 1 << 10, 1 << 20
 _URL = r"^(?s:.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
@@ -85,7 +87,7 @@ def with_possible(rows: DataFrame, keys: DataFrame, n_blocks: int = 1 << 16) ->
     return found.withColumn("possible", passes).drop("block", *[f"w{i}" for i in range(WORDS)])
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", n_blocks: int = 1 << 16) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", n_blocks: int | None = None) -> DataFrame:
     """Judges every row of pages: (id, host, path, rule, verdict, possible).
 
     listed has a column canonical, as canonical_url() makes it; nulls, empty strings and repeats in it count for
@@ -99,11 +101,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "said": said})
     keys = listed.select("canonical").where("canonical <> ''").distinct()
+    if n_blocks is None:
+        n_blocks = min(MAX_BLOCKS, max(MIN_BLOCKS, 1 << (keys.count() // KEYS_A_BLOCK).bit_length()))
     found = with_possible(rows.where("said is null and canonical <> ''"), keys, n_blocks)
     out = [F.col("id").alias(id_col), "host", "path", "rule"]
     ruled = rows.where("said is not null or canonical = ''").select(*out, F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("boolean").alias("possible"))
     clear = found.where(~F.col("possible")).select(*out, F.lit("allow").alias("verdict"), F.lit(False).alias("possible"))
-    hit = found.where("possible").join(keys.withColumn("listed", F.lit(True)), "canonical", "left")
+    hit = found.where("possible").join(keys.withColumn("listed", F.lit(True)).hint("shuffle_hash"), "canonical", "left")
     hit = hit.select(*out, F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"), F.lit(True).alias("possible"))
     return ruled.unionByName(clear).unionByName(hit)
 

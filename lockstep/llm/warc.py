@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, materialise, new_path
+from .url_filter import with_possible
 
 FILE_BYTES = 256 << 20
 GAP_BYTES = 64 << 10
@@ -135,7 +136,11 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes:
     batches(pages.sparkSession, 500)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("key"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
     keeper = rows.where(F.col("size") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    told = rows.join(keeper, "key", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    # payloads that surely occur once stay where they are; only the others are shuffled by key
+    found = with_possible(rows.withColumn("canonical", F.col("key")), keeper.select(F.col("key").alias("canonical")))
+    alone = found.where("not possible").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"))
+    some = found.where("possible").join(keeper, "key", "left")
+    told = alone.unionByName(some.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to")))
     return materialise(told.mapInArrow(_writer(folder, file_bytes, level), _INDEX_SQL), "warc-index")
 
 
