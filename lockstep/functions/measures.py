@@ -126,63 +126,78 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
 
 
+def _series(ratio, live: np.ndarray) -> np.ndarray:
+    """ln of 1 + r(1) + r(1) r(2) + ... for each row, ratio(k, rows) being r(k), until a row's terms vanish."""
+    total, term = np.ones(len(live)), np.ones(len(live))
+    rows = np.flatnonzero(live)
+    k = 0
+    while len(rows):
+        k += 1
+        term[rows] *= np.maximum(ratio(k, rows), 0.0)
+        total[rows] += term[rows]
+        rows = rows[term[rows] > total[rows] * 1e-17]
+    return np.log(total)
+
+
+def _significance(log_tail: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    out = np.where(sure, 0.0, -log_tail / np.log(10))
+    return np.clip(np.nan_to_num(out, nan=0.0, posinf=MAX_NEG_LOG10_P), 0.0, MAX_NEG_LOG10_P) + 0.0
+
+
+def poisson_tails(a: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """-log10 P(X >= a) of Poisson variables: the tail from a upwards, or one minus that from a - 1 downwards."""
+    a, mean = np.asarray(a, np.float64), np.maximum(np.asarray(mean, np.float64), EPS)
+    sure = a <= 0
+    a = np.where(sure, 1.0, a)
+    log_pmf = a * np.log(mean) - mean - _lgamma(a + 1)
+    above = ~sure & (a > mean)
+    below = ~sure & ~above
+    upper = log_pmf + _series(lambda k, r: mean[r] / (a[r] + k), above)
+    upper = np.where(upper < -744.0, log_pmf, upper)  # beyond the smallest double the tail is told by its first term
+    lower = log_pmf + np.log(a / mean) + _series(lambda k, r: (a[r] - k) / mean[r], below)
+    return _significance(np.where(above, upper, np.log1p(-np.exp(np.minimum(lower, -1e-300)))), sure)
+
+
+def hypergeometric_tails(a: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """-log10 P(X >= a), X the overlap of n_a and n_b among n; sums start at the largest term and end where terms vanish."""
+    a, n_a, n_b, n = (np.asarray(x, np.float64) for x in (a, n_a, n_b, n))
+    low = np.maximum(0.0, n_a + n_b - n)
+    sure, never = a <= low, a > np.minimum(n_a, n_b)
+    above = ~sure & ~never & (a > np.floor((n_a + 1) * (n_b + 1) / (n + 2)))
+    below = ~sure & ~never & ~above
+    first = np.where(above, a, np.where(below, a - 1, low))
+    choose = lambda m, k: _lgamma(m + 1) - _lgamma(k + 1) - _lgamma(m - k + 1)
+    log_pmf = choose(n_a, first) + choose(n - n_a, n_b - first) - choose(n, n_b)
+
+    def up(k: int, r: np.ndarray) -> np.ndarray:
+        x = a[r] + k - 1
+        return (n_a[r] - x) * (n_b[r] - x) / ((x + 1) * (n[r] - n_a[r] - n_b[r] + x + 1))
+
+    def down(k: int, r: np.ndarray) -> np.ndarray:
+        x = a[r] - k
+        return x * (n[r] - n_a[r] - n_b[r] + x) / ((n_a[r] - x + 1) * (n_b[r] - x + 1))
+
+    upper, lower = log_pmf + _series(up, above), log_pmf + _series(down, below)
+    tail = np.where(above, upper, np.log1p(-np.exp(np.minimum(lower, -1e-300))))
+    return np.where(never, MAX_NEG_LOG10_P, _significance(tail, sure))
+
+
 def poisson_tail(a: float, mean: float) -> float:
-    """-log10 P(X >= a) of a Poisson variable."""
-    if a <= 0:
-        return 0.0
-    mean = max(mean, EPS)
-    log_pmf = a * np.log(mean) - mean - float(_lgamma(np.array([a + 1.0]))[0])
-    if a > mean:
-        term = total = 1.0
-        k = 0
-        while term > total * 1e-17 and k < 1_000_000:
-            k += 1
-            term *= mean / (a + k)
-            total += term
-        tail = log_pmf + np.log(total)
-        if tail < -744.0:  # beyond the smallest double the tail is told by its first term
-            tail = log_pmf
-    else:
-        term = total = 1.0
-        k = a - 1
-        while k > 0 and term > total * 1e-17:
-            term *= k / mean
-            total += term
-            k -= 1
-        lower = log_pmf + np.log(a / mean) + np.log(total)
-        tail = np.log1p(-np.exp(min(lower, -1e-300)))
-    return float(min(max(-tail / np.log(10), 0.0), MAX_NEG_LOG10_P)) + 0.0
+    return float(poisson_tails(np.array([a]), np.array([mean]))[0])
 
 
 def hypergeometric_tail(a: float, n_a: float, n_b: float, n: float) -> float:
-    """-log10 P(X >= a), X the overlap of n_a and n_b among n."""
-    low, high = max(0, int(n_a + n_b - n)), int(min(n_a, n_b))
-    if a <= low:
-        return 0.0
-
-    def log_sum(first: int, last: int) -> float:
-        if first > last:
-            return -np.inf
-        k = np.arange(first, last + 1, dtype=np.float64)
-        ln = lambda m, j: _lgamma(m + 1) - _lgamma(j + 1) - _lgamma(m - j + 1)
-        terms = ln(np.full_like(k, n_a), k) + ln(np.full_like(k, n - n_a), n_b - k) - ln(np.full_like(k, n), np.full_like(k, n_b))
-        top = terms.max()
-        return float(top + np.log(np.exp(terms - top).sum()))
-
-    upper = log_sum(int(a), high)
-    if upper > np.log(0.5):
-        upper = float(np.log1p(-np.exp(min(log_sum(low, int(a) - 1), -1e-300))))
-    return float(min(max(-upper / np.log(10), 0.0), MAX_NEG_LOG10_P)) + 0.0
+    return float(hypergeometric_tails(*(np.array([x]) for x in (a, n_a, n_b, n)))[0])
 
 
 @pandas_udf(DoubleType())
 def _poisson(a: pd.Series, mean: pd.Series) -> pd.Series:
-    return pd.Series([poisson_tail(x, m) for x, m in zip(a, mean, strict=True)], dtype="float64")
+    return pd.Series(poisson_tails(a.to_numpy(), mean.to_numpy()))
 
 
 @pandas_udf(DoubleType())
 def _hypergeometric(a: pd.Series, n_a: pd.Series, n_b: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([hypergeometric_tail(*x) for x in zip(a, n_a, n_b, n, strict=True)], dtype="float64")
+    return pd.Series(hypergeometric_tails(*(x.to_numpy() for x in (a, n_a, n_b, n))))
 
 
 _dice = lambda t: ratio(2 * t.a, 2 * t.a + t.b + t.c)

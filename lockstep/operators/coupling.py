@@ -69,17 +69,37 @@ def basket_pairs(rows: DataFrame) -> DataFrame:
 
 def pairs(rows: DataFrame, min_support: int = MIN_PAIR_SUPPORT, as_of: str | None = None, half_life: float = HALF_LIFE_DAYS) -> DataFrame:
     """(repo, a, b, n_ab, first_at, last_at, distinct_authors) with n_ab >= min_support, and w_ab where as_of is given."""
-    keep = [F.count(F.lit(1)).alias("n_ab"), F.min("committed_at").alias("first_at"), F.max("committed_at").alias("last_at"), F.count_distinct("author_id").alias("distinct_authors")]
+    keep = {"n_ab": (F.count(F.lit(1)), F.sum), "first_at": (F.min("committed_at"), F.min), "last_at": (F.max("committed_at"), F.max)}
     if as_of is not None:
         age = F.greatest(as_of_epoch(as_of) - epoch("committed_at"), F.lit(0)) / 86400.0
-        keep.append(F.sum(F.pow(F.lit(2.0), -age / max(half_life, 1.0))).alias("w_ab"))
-    return basket_pairs(rows).groupBy("repo", "a", "b").agg(*keep).where(F.col("n_ab") >= max(min_support, 1))
+        keep["w_ab"] = (F.sum(F.pow(F.lit(2.0), -age / max(half_life, 1.0))), F.sum)
+    # authors are told apart by a first sum, which is smaller than the pairs, and not by a distinct count over these
+    rows = basket_pairs(rows).groupBy("repo", "a", "b", "author_id").agg(*[x.alias(k) for k, (x, _) in keep.items()])
+    rows = rows.groupBy("repo", "a", "b").agg(*[f(k).alias(k) for k, (_, f) in keep.items()], F.count("author_id").alias("distinct_authors"))
+    return rows.where(F.col("n_ab") >= max(min_support, 1))
 
 
 def pair_counts(rows: DataFrame, min_support: int = MIN_PAIR_SUPPORT) -> DataFrame:
     return basket_pairs(rows).groupBy("repo", "a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= max(min_support, 1))
 
 
+def basket_margins(rows: DataFrame) -> DataFrame:
+    """(repo, file_id, pair_change_count) from baskets: how many of them hold the item."""
+    return rows.select("repo", F.explode("items").alias("file_id")).groupBy("repo", "file_id").agg(F.count(F.lit(1)).alias("pair_change_count"))
+
+
+def basket_population(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("repo").agg(F.count(F.lit(1)).alias("n_total"))
+
+
+def partners(rows: DataFrame, asked: DataFrame, min_support: int = MIN_PAIR_SUPPORT) -> DataFrame:
+    """(repo, item, other, n_ab, n_item) of the items asked (repo, item): only baskets that hold one are looked at, without pairs of others."""
+    held = rows.select("repo", "items", F.explode("items").alias("item")).join(asked, ["repo", "item"], "left_semi")
+    seen = held.groupBy("repo", "item").agg(F.count(F.lit(1)).alias("n_item"))
+    both = held.select("repo", "item", F.explode("items").alias("other")).where("other <> item").groupBy("repo", "item", "other").agg(F.count(F.lit(1)).alias("n_ab"))
+    return both.where(F.col("n_ab") >= max(min_support, 1)).join(seen, ["repo", "item"])
+
+
 def author_files(changes: DataFrame, commits: DataFrame) -> DataFrame:
     rows = dated(changes, commits).where("author_id is not null")
     return rows.groupBy("repo", "author_id", "file_id").agg(F.count(F.lit(1)).alias("n_commits"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.min("committed_at").alias("first_at"), F.max("committed_at").alias("last_at"))
@@ -149,20 +169,33 @@ def drift(rows: DataFrame, as_of: str, window_days: int = DRIFT_WINDOW_DAYS, lea
     return out.select("repo", "a", "b", F.col("n_ab_r").cast("long").alias("n_ab_recent"), F.col("n_ab_h").cast("long").alias("n_ab_historic"), F.col("npmi_r").alias("npmi_recent"), F.col("npmi_h").alias("npmi_historic"), delta.alias("delta"), trend.alias("trend"))
 
 
-def max_rank(value: str, key: str = "repo") -> Column:
-    """(#{x <= v} - 1) / max(n - 1, 1)."""
-    upto = F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return (upto - 1) / F.greatest(F.count(F.lit(1)).over(Window.partitionBy(key)) - 1, F.lit(1))
+def with_max_rank(rows: DataFrame, value: str, name: str, key: str = "repo", buckets: int = 1024) -> DataFrame:
+    """Adds (#{x <= v} - 1) / max(n - 1, 1) of a value of 0 or more among the rows of its key.
+
+    Values are counted first; counts of values go into buckets by the logarithm between the least and the largest, so that a
+    running count is taken over buckets and inside each, and no task sees all rows or values of a key.
+    """
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    log = F.log1p(F.col(value).cast("double"))
+    ends = rows.groupBy(key).agg(F.min(log).alias("_low"), F.max(log).alias("_high"), F.count(F.lit(1)).alias("_all"))
+    spot = F.when(F.col("_high") > F.col("_low"), (log - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    placed = counts.join(ends, key).withColumn("_bucket", F.floor(spot * (buckets - 1)))
+    before = placed.groupBy(key, "_bucket").agg(F.sum("_n").alias("_sum"))
+    before = before.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = F.sum("_n").over(Window.partitionBy(key, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = placed.withColumn("_inside", inside).join(before, [key, "_bucket"])
+    share = (F.col("_before") + F.col("_inside") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))
+    return rows.join(ranked.select(key, value, share.alias(name)), [key, value])
 
 
 def file_risk(marginals: DataFrame, pair_rows: DataFrame, owners: DataFrame, as_of: str, evidence: float = RISK_EVIDENCE) -> DataFrame:
     """churn rank * coupling rank * (1 + concentration of owners) * n / (n + evidence)."""
     degree = pair_rows.select("repo", F.explode(F.array("a", "b")).alias("file_id")).groupBy("repo", "file_id").agg(F.count(F.lit(1)).alias("partners"))
-    total = F.sum("n_commits").over(Window.partitionBy("repo", "file_id"))
-    share = owners.withColumn("share", F.col("n_commits") / total).groupBy("repo", "file_id").agg(F.sum(F.col("share") * F.col("share")).alias("hhi"))
+    own = F.col("n_commits").cast("double")
+    share = owners.groupBy("repo", "file_id").agg((F.sum(own * own) / (F.sum(own) * F.sum(own))).alias("hhi"))
     rows = marginals.where("change_count > 0").join(degree, ["repo", "file_id"], "left").join(share, ["repo", "file_id"], "left").fillna(0, ["partners"]).fillna(0.0, ["hhi"])
     rows = rows.withColumn("churn", F.col("insertions") + F.col("deletions"))
-    rows = rows.withColumns({"churn_pct": max_rank("churn"), "coupling_pct": max_rank("partners")})
+    rows = with_max_rank(with_max_rank(rows, "churn", "churn_pct"), "partners", "coupling_pct")
     weight = F.col("change_count") / (F.col("change_count") + evidence)
     days = F.floor((as_of_epoch(as_of) - epoch("last_at")) / 86400)
     return rows.select("repo", "file_id", "change_count", "partners", "churn_pct", "coupling_pct", "hhi", F.when(F.col("hhi") > 0, 1 / F.when(F.col("hhi") > 0, F.col("hhi"))).alias("effective_authors"), days.alias("days_since"), (F.col("churn_pct") * F.col("coupling_pct") * (1 + F.col("hhi")) * weight).alias("risk"))

@@ -51,8 +51,9 @@ def _pairs(s: SparkSession, d: str, item: str = "l_suppkey") -> DataFrame:
 
 
 def _metrics(s: SparkSession, d: str, keys: list[str], item: str = "l_suppkey") -> DataFrame:
-    changes, commits = _history(s, d, item)
-    return c.scored(_pairs(s, d, item), c.file_marginals(changes, commits), c.population(commits), keys)
+    """Scored pairs; pairs, margins and population all come from the same baskets."""
+    rows = c.baskets(*_history(s, d, item))
+    return c.scored(c.pair_counts(rows), c.basket_margins(rows), c.basket_population(rows), keys)
 
 
 def _secs(name: str):
@@ -66,10 +67,10 @@ def _secs(name: str):
 select case when a = file_id then b else a end as other, n_ab, round(n_ab::double / case when a = file_id then n_a else n_b end, 6) as confidence
 from cells, busiest where repo = 'BUILDING' and file_id in (a, b) order by confidence desc, other limit 25""")
 def top_partners(s, d):
-    changes, commits = _history(s, d)
-    busiest = c.file_marginals(changes, commits).where("repo = 'BUILDING'").orderBy(F.desc("change_count"), "file_id").limit(1).select(F.col("file_id").alias("item"))
-    rows = c.both_ways(_metrics(s, d, ["confidence_ab", "confidence_ba"])).where("repo = 'BUILDING'").join(F.broadcast(busiest), "item")
-    return rows.select("other", "n_ab", F.round("confidence_ab", 6).alias("confidence")).orderBy(F.desc("confidence"), "other").limit(25)
+    changes, commits = (x.where("repo = 'BUILDING'") for x in _history(s, d))
+    busiest = changes.groupBy("repo", F.col("file_id").alias("item")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item").limit(1).select("repo", "item")
+    rows = c.partners(c.baskets(changes, commits), F.broadcast(busiest))  # one row
+    return rows.select("other", "n_ab", F.round(F.col("n_ab") / F.col("n_item"), 6).alias("confidence")).orderBy(F.desc("confidence"), "other").limit(25)
 
 
 @query("eligible_population", BASE + " select repo, n_total from totals")
@@ -194,14 +195,16 @@ def score_hypergeometric(s, d):
  select a as item, b as other, n_ab, n_ab::double / n_a as conf, repo from cells union all select b, a, n_ab, n_ab::double / n_b, repo from cells)
 where repo = 'BUILDING' and item = 7 and n_ab >= 2 order by score desc, other limit 25""")
 def coupled_items(s, d):
-    rows = c.both_ways(_metrics(s, d, ["confidence_ab", "confidence_ba"]).where("repo = 'BUILDING' and 7 in (a, b)")).where("item = 7 and n_ab >= 2")
-    return rows.select("item", "other", "n_ab", F.round("confidence_ab", 6).alias("score")).orderBy(F.desc("score"), "other").limit(25)
+    asked = s.createDataFrame([("BUILDING", 7)], "repo string, item long")
+    rows = c.partners(c.baskets(*(x.where("repo = 'BUILDING'") for x in _history(s, d))), F.broadcast(asked))  # one row
+    return rows.select("item", "other", "n_ab", F.round(F.col("n_ab") / F.col("n_item"), 6).alias("score")).orderBy(F.desc("score"), "other").limit(25)
 
 
 @query("coupled_items_min_score", BASE + """ select b as other, n_ab, round(n_ab::double / n_a, 6) as score from cells where repo = 'MACHINERY' and a = 3 and n_ab::double / n_a >= 0.05""")
 def coupled_items_min_score(s, d):
-    rows = _metrics(s, d, ["confidence_ab"]).where("repo = 'MACHINERY' and a = 3 and confidence_ab >= 0.05")
-    return rows.select(F.col("b").alias("other"), "n_ab", F.round("confidence_ab", 6).alias("score"))
+    asked = s.createDataFrame([("MACHINERY", 3)], "repo string, item long")
+    rows = c.partners(c.baskets(*(x.where("repo = 'MACHINERY'") for x in _history(s, d))), F.broadcast(asked)).where("other > item and n_ab / n_item >= 0.05")  # one row
+    return rows.select("other", "n_ab", F.round(F.col("n_ab") / F.col("n_item"), 6).alias("score"))
 
 
 @query("strongest_pairs", BASE + f" select repo, a, b, n_ab, round({_FORMULAS['jaccard']}, 6) as score from cells where n_ab >= 3 order by score desc, repo, a, b limit 25")
@@ -230,7 +233,9 @@ def coupling_graph_nodes(s, d):
 
 @query("pair_detail_cells", BASE + " select repo, a, b, ca::bigint as cell_a, cb::bigint as cell_b, cc::bigint as cell_c, cd::bigint as cell_d, round(na * nb / n, 6) as expected from cells where a = 1 and b = 2")
 def pair_detail_cells(s, d):
-    rows = _metrics(s, d, []).where("a = 1 and b = 2")
+    rows = c.baskets(*_history(s, d))
+    both = c.pair_counts(rows.where(F.array_contains("items", 1) & F.array_contains("items", 2)).withColumn("items", F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))))
+    rows = c.scored(both, c.basket_margins(rows.withColumn("items", F.filter("items", lambda x: x.isin(1, 2)))), c.basket_population(rows), [])
     return rows.select("repo", "a", "b", *[F.col(f"cell_{x}").cast("long").alias(f"cell_{x}") for x in "abcd"], F.round(measures.cells().expected, 6).alias("expected"))
 
 
@@ -466,8 +471,9 @@ def impossible_edges_rejected(s, d):
 
 @query("dependency_summary", f"with {_EVERY}, x as (select consumer, dep, list_sort(list(epoch(consumer_at) - epoch(upstream_at)) filter (upstream_at <= consumer_at)) as lags, count(*) as bumps from bumps group by 1, 2) select consumer, dep, bumps, lags[len(lags) // 2 + 1]::bigint as upper_median from x")
 def dependency_summary(s, d):
-    rows = g.resolved(roles.bumps(s, d)).groupBy("consumer", "dep").agg(F.count(F.lit(1)).alias("bumps"), F.count("adoption_seconds").alias("n"), F.sort_array(F.collect_list("adoption_seconds")).alias("lags"))
-    return rows.select("consumer", "dep", "bumps", F.get("lags", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"))
+    # the upper median is the discrete one of the falling order; the aggregate holds counts of distinct lags, not rows
+    upper = F.expr("percentile_disc(0.5) within group (order by adoption_seconds desc)")
+    return g.resolved(roles.bumps(s, d)).groupBy("consumer", "dep").agg(F.count(F.lit(1)).alias("bumps"), upper.cast("long").alias("upper_median"))
 
 
 @query("asof_ceiling", "with req as (select o_orderkey as id, o_custkey as key, o_orderdate as at, 200000.0 as below from orders) select req.id, max(o_totalprice) as ordinal from req left join orders o on o.o_custkey = req.key and o.o_totalprice < req.below and o.o_orderdate <= req.at group by 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import judgement as j
 from ..functions import text
+from ..operators import backtest as bt
 from ..operators import coupling as c
 from ..operators import graph as g
 from ..operators import mining as m
@@ -341,6 +342,25 @@ def prompt_sample(s, d):
     return r.sample(c.with_eligible(roles.commits(s, d)).where("eligible").select("repo", "commit_id"), "commit_id", 100, 20260830)
 
 
+_BASELINE = BASE + """, {files}, num as (select repo, commit_id, row_number() over (partition by repo order by committed_at, commit_id) as nr, n from (select repo, commit_id, committed_at, count(*) as n from dated where eligible group by 1, 2, 3)),
+occ as (select repo, commit_id, file_id, nr, n from dated join num using (repo, commit_id)), seeds as (select * from occ where nr > 20 and n between 2 and 25),
+keyed as (select file_id, regexp_replace(path, '/[^/]*$', '') as k from files), offers as (select x.file_id as seed, y.file_id as other, row_number() over (partition by x.file_id order by y.file_id) as place from keyed x join keyed y on x.k = y.k and x.file_id <> y.file_id),
+hit as (select s.repo, s.commit_id, s.file_id, count(o.file_id) as hits from seeds s left join offers f on f.seed = s.file_id and place <= 5 left join occ o on o.repo = s.repo and o.commit_id = s.commit_id and o.file_id = f.other group by 1, 2, 3)
+select repo, count(*) as prompts, count(*) filter (hits > 0) as hit from hit group by 1""".replace("{files}", _FILES)
+
+
+@query("backtest_baselines", _BASELINE)
+def backtest_baselines(s, d):
+    rows = bt.baseline(c.baskets(*_history(s, d)), _files(s, d), text.directory(F.col("path")))
+    return bt.rates(rows).select("repo", "prompts", "hit")
+
+
+@query("backtest_stem_baseline", _BASELINE.replace("regexp_replace(path, '/[^/]*$', '') as k", "regexp_replace(regexp_replace(lower(string_split(regexp_replace(path, '^.*/', ''), '.')[1]), '_test$', ''), '^[._-]+|[._-]+$', '', 'g') as k"))
+def backtest_stem_baseline(s, d):
+    rows = bt.baseline(c.baskets(*_history(s, d)), _files(s, d), text.stem(F.col("path")))
+    return bt.rates(rows).select("repo", "prompts", "hit")
+
+
 # --- shapes ----------------------------------------------------------------------------------------------------
 
 
