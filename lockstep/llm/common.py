@@ -121,7 +121,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(hashes + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def grouped_texts(column, limit: int = 1 << 22) -> Iterator[tuple[int, list[bytes]]]:
+def grouped_texts(column, limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
     """An Arrow string column as lists of UTF-8 texts of about limit bytes together, with the first row's number."""
     first, held, size = 0, [], 0
     for k, text in enumerate(column.to_pylist()):

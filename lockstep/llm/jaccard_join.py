@@ -139,7 +139,7 @@ def _signed(words: int, percent: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in rows:
-            for first, texts in grouped_texts(batch.column(1), 1 << 24):
+            for first, texts in grouped_texts(batch.column(1), 1 << 22):
                 ids, sets = [], []
                 for doc_id, tokens in zip(batch.column(0).slice(first, len(texts)).to_pylist(), token_sets(texts, words), strict=True):
                     mark = tokens.sum(dtype=np.uint64).tobytes() + mix64(tokens).sum(dtype=np.uint64).tobytes()

@@ -28,6 +28,7 @@ GRADES = 3
 FIT_ROWS = 8_000
 FIT_ENTRIES = 16_000_000  # places with counts, 8 bytes each
 BLOCK_ENTRIES = 1 << 20
+CHUNK = 1 << 20  # bytes of texts whose features are held at once
 MIN_KEPT = 0.995
 BITS = 18
 SIZE = 2 << BITS  # words, then trigrams; one more weight for repeats
@@ -87,6 +88,11 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -60, 60)))
 
 
+def tails_of(model: Model, column) -> np.ndarray:
+    """The tail probabilities of an Arrow column of texts, a few texts at a time."""
+    return np.concatenate([model.tails(model.score(texts)) for _, texts in grouped_texts(column, CHUNK)] or [np.zeros((0, GRADES - 1))])
+
+
 _SPARSE = "h long, t long, doc_id long, grade int, held boolean, places array<int>, counts array<float>"
 _MODEL = "weights binary, thresholds array<double>, cut double"
 
@@ -100,7 +106,7 @@ def rated(labels: DataFrame) -> DataFrame:
 def _sparse(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text's places and shares; what one weight of the table adds to its score."""
     for batch in rows:
-        for first, texts in grouped_texts(batch.column(5)):
+        for first, texts in grouped_texts(batch.column(5), CHUNK):
             f = features(texts)
             places, counts = [], []
             for k in range(len(texts)):
@@ -150,27 +156,29 @@ def _fitted(fit_entries: int, min_kept: float):
     """Fits on the rows of one task, in their order, until fit_entries is reached: one row, or none without rows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grades, held, sizes, places, counts, room = [], [], [], [], [], fit_entries
+        parts, grades, held, sizes, room = ([], []), [], [], [], fit_entries
         for batch in rows:
             lengths = batch.column(5).value_lengths().to_numpy()
             n = int(np.searchsorted(np.cumsum(lengths), room, side="right"))  # 0 once the bound was reached
             grades.append(batch.column(3).to_numpy()[:n].astype(np.int64))
             held.append(batch.column(4).to_numpy(zero_copy_only=False)[:n])
             sizes.append(lengths[:n])
-            places.append(batch.column(5).slice(0, n).flatten().to_numpy().astype(np.int32))
-            counts.append(batch.column(6).slice(0, n).flatten().to_numpy().astype(np.float32))
+            for own in (False, True):  # entries of those to fit on and of those held out, apart
+                chosen = batch.slice(0, n).filter(pa.array(held[-1] == own))
+                parts[own].append((chosen.column(5).flatten().to_numpy().astype(np.int32), chosen.column(6).flatten().to_numpy().astype(np.float32)))
             room = room - int(lengths[:n].sum()) if n == len(lengths) else -1
         if not sum(map(len, grades)):
             return
-        grades, held, sizes, places, counts = map(np.concatenate, (grades, held, sizes, places, counts))
-        if held.all():
-            held[:] = False
-        own = np.repeat(~held, sizes)
-        weights, thresholds = maximise(grades[~held], np.concatenate([[0], np.cumsum(sizes[~held])]), places[own], counts[own])
-        model, best = Model(weights, thresholds), held & (grades == GRADES - 1)
+        grades, held, sizes = map(np.concatenate, (grades, held, sizes))
+        if held.all():  # nothing to fit on but what was held out
+            held, parts = np.zeros(len(held), bool), (parts[1], [])
+        places, counts = (np.concatenate([p[k] for p in parts[0]]) for k in (0, 1))
+        parts[0].clear()
+        weights, thresholds = maximise(grades[~held], np.concatenate([[0], np.cumsum(sizes[~held])]), places, counts)
+        model, best = Model(weights, thresholds), grades[held] == GRADES - 1
         if best.any():
-            own = np.repeat(best, sizes)
-            scores = np.add.reduceat(counts[own] * weights[places[own]].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[best])[:-1]]))
+            places, counts = (np.concatenate([p[k] for p in parts[1]]) for k in (0, 1))
+            scores = np.add.reduceat(counts * weights[places].astype(np.float64), np.concatenate([[0], np.cumsum(sizes[held])[:-1]]))[best]
             tails = np.sort(model.tails(scores)[:, -1])
             model = model._replace(cut=float(tails[int((1 - min_kept) * len(tails))]))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([thresholds.tolist()]), pa.array([model.cut])], names=["weights", "thresholds", "cut"])
@@ -213,7 +221,7 @@ def grade(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in rows:
-            tails = m.tails(m.score([t.encode() if t else b"" for t in batch.column(len(keep)).to_pylist()]))
+            tails = tails_of(m, batch.column(len(keep)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= m.cut)], names=names)
 
     return docs.select(*keep, F.col("text").alias("_graded")).mapInArrow(run, schema)
@@ -229,7 +237,7 @@ def select_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in rows:
-            tails = m.tails(m.score([t.encode() if t else b"" for t in batch.column(n).to_pylist()]))
+            tails = tails_of(m, batch.column(n))
             yield batch.filter(pa.array(tails[:, -1] >= m.cut))
 
     return docs.mapInArrow(run, docs.schema)
