@@ -87,6 +87,7 @@ def resolve_names(s, d):
     repo = F.concat_ws("/", "p_type", F.expr("replace(p_name, ' ', '-')"), "p_brand")
     repos = part.select(repo.alias("repo"), F.col("p_type").alias("owner"), F.expr("replace(p_name, ' ', '-')").alias("name")).distinct()
     claimed = dep.claims(part.select(repo.alias("repo"), F.lit("npm").alias("ecosystem"), F.col("p_brand").alias("name")))
+    claimed = claimed.unionByName(s.createDataFrame([("go", "brand#1", "none")], "ecosystem string, name string, repo string"))
     return dep.resolve_names(names, repos, claimed).select("id", "dep_repo")
 
 
@@ -139,4 +140,5 @@ def declared_at_head(s, d):
     repo = F.concat_ws("/", "p_type", F.expr("replace(p_name, ' ', '-')"), "p_brand")
     repos = part.select(repo.alias("repo"), F.col("p_type").alias("owner"), F.expr("replace(p_name, ' ', '-')").alias("name")).distinct()
     claimed = dep.claims(part.select(repo.alias("repo"), F.lit("npm").alias("ecosystem"), F.col("p_brand").alias("name")))
+    claimed = claimed.unionByName(s.createDataFrame([("go", "brand#1", "none")], "ecosystem string, name string, repo string"))
     return dep.declared_dependencies(entries, repos, claimed).select("repo", "name", "manifest", "dep_repo")
