@@ -49,10 +49,20 @@ def file_marginals(changes: DataFrame, commits: DataFrame, cap: int = MAX_FILES_
     )
 
 
-def deleted_files(changes: DataFrame, commits: DataFrame, deletion: str = "D") -> DataFrame:
-    """Without a tree to look at, a file is deleted if its last change, by time and commit, is a deletion."""
+def deleted_files(changes: DataFrame, commits: DataFrame, deletion: str = "D", files: DataFrame | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """(repo, file_id, is_deleted): in repositories with a tree (repo, path) a file (repo, file_id, path) that is not in it.
+
+    Where no tree could be read, a file is deleted if its last change, by time and commit, is a deletion.
+    """
     last = F.max_by("change_type", F.struct("committed_at", "commit_id"))
-    return dated(changes, commits).groupBy("repo", "file_id").agg((last == deletion).alias("is_deleted"))
+    told = dated(changes, commits).groupBy("repo", "file_id").agg((last == deletion).alias("is_deleted"))
+    if tree is None:
+        return told
+    read = tree.select("repo").distinct().withColumn("_read", F.lit(True))
+    there = files.select("repo", "file_id", "path").join(tree.select("repo", "path").distinct(), ["repo", "path"]).select("repo", "file_id").withColumn("_there", F.lit(True))
+    rows = files.select("repo", "file_id").join(read, "repo", "left").join(there, ["repo", "file_id"], "left").join(told, ["repo", "file_id"], "left")
+    gone = F.when(F.col("_read"), F.col("_there").isNull()).otherwise(F.coalesce("is_deleted", F.lit(False)))
+    return rows.select("repo", "file_id", gone.alias("is_deleted"))
 
 
 def baskets(changes: DataFrame, commits: DataFrame, item: str = "file_id", cap: int = MAX_FILES_PER_COMMIT) -> DataFrame:
@@ -169,8 +179,8 @@ def drift(rows: DataFrame, as_of: str, window_days: int = DRIFT_WINDOW_DAYS, lea
     return out.select("repo", "a", "b", F.col("n_ab_r").cast("long").alias("n_ab_recent"), F.col("n_ab_h").cast("long").alias("n_ab_historic"), F.col("npmi_r").alias("npmi_recent"), F.col("npmi_h").alias("npmi_historic"), delta.alias("delta"), trend.alias("trend"))
 
 
-def with_max_rank(rows: DataFrame, value: str, name: str, key: str = "repo", buckets: int = 1024) -> DataFrame:
-    """Adds (#{x <= v} - 1) / max(n - 1, 1) of a value of 0 or more among the rows of its key.
+def max_ranks(rows: DataFrame, value: str, name: str, key: str = "repo", buckets: int = 1024) -> DataFrame:
+    """(key, value, name): (#{x <= v} - 1) / max(n - 1, 1) of each value, 0 or more, among the rows of its key.
 
     Values are counted first; counts of values go into buckets by the logarithm between the least and the largest, so that a
     running count is taken over buckets and inside each, and no task sees all rows or values of a key.
@@ -184,8 +194,7 @@ def with_max_rank(rows: DataFrame, value: str, name: str, key: str = "repo", buc
     before = before.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inside = F.sum("_n").over(Window.partitionBy(key, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = placed.withColumn("_inside", inside).join(before, [key, "_bucket"])
-    share = (F.col("_before") + F.col("_inside") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))
-    return rows.join(ranked.select(key, value, share.alias(name)), [key, value])
+    return ranked.select(key, value, ((F.col("_before") + F.col("_inside") - 1) / F.greatest(F.col("_all") - 1, F.lit(1))).alias(name))
 
 
 def file_risk(marginals: DataFrame, pair_rows: DataFrame, owners: DataFrame, as_of: str, evidence: float = RISK_EVIDENCE) -> DataFrame:
@@ -194,8 +203,8 @@ def file_risk(marginals: DataFrame, pair_rows: DataFrame, owners: DataFrame, as_
     own = F.col("n_commits").cast("double")
     share = owners.groupBy("repo", "file_id").agg((F.sum(own * own) / (F.sum(own) * F.sum(own))).alias("hhi"))
     rows = marginals.where("change_count > 0").join(degree, ["repo", "file_id"], "left").join(share, ["repo", "file_id"], "left").fillna(0, ["partners"]).fillna(0.0, ["hhi"])
-    rows = rows.withColumn("churn", F.col("insertions") + F.col("deletions"))
-    rows = with_max_rank(with_max_rank(rows, "churn", "churn_pct"), "partners", "coupling_pct")
+    rows = step(rows.withColumn("churn", F.col("insertions") + F.col("deletions")), "risk")
+    rows = rows.join(max_ranks(rows, "churn", "churn_pct"), ["repo", "churn"]).join(max_ranks(rows, "partners", "coupling_pct"), ["repo", "partners"])
     weight = F.col("change_count") / (F.col("change_count") + evidence)
     days = F.floor((as_of_epoch(as_of) - epoch("last_at")) / 86400)
     return rows.select("repo", "file_id", "change_count", "partners", "churn_pct", "coupling_pct", "hhi", F.when(F.col("hhi") > 0, 1 / F.when(F.col("hhi") > 0, F.col("hhi"))).alias("effective_authors"), days.alias("days_since"), (F.col("churn_pct") * F.col("coupling_pct") * (1 + F.col("hhi")) * weight).alias("risk"))

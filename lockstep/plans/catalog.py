@@ -250,8 +250,9 @@ select y.repo, y.dir_path as other, count(*) as n_ab from dirs x join dirs y on
 where x.dir_path = (select min(dir_path) from closure where dir_path <> '' and not contains(dir_path, '/')) and y.dir_path <> '' group by 1, 2 having count(*) >= 2""")
 def coupled_hierarchy(s, d):
     top = c.closure(roles.paths(s, d)).where("depth = 1").agg(F.min("dir_path").alias("item"))
-    rows = c.both_ways(c.pair_counts(c.directory_baskets(*_history(s, d, "l_partkey"), roles.paths(s, d))))
-    return rows.join(F.broadcast(top), "item").where("other <> ''").select("repo", "other", "n_ab")  # top is one row
+    asked = roles.table(s, d, "customer").select(F.col("c_mktsegment").alias("repo")).distinct().join(F.broadcast(top))  # one row
+    rows = c.partners(c.directory_baskets(*_history(s, d, "l_partkey"), roles.paths(s, d)), F.broadcast(asked))  # a row for each repository
+    return rows.where("other <> ''").select("repo", "other", "n_ab")
 
 
 @query("hotspots_with_partners", BASE + """ select m.repo, m.file_id, change_count, coalesce(partners, 0) as partner_count from marginals m
@@ -310,10 +311,10 @@ _SHAPES = {
     "commit_width": ("select least(n_files, 12)::bigint as bucket, count(*) as n from commits where eligible group by 1", lambda h, k: c.with_eligible(k).where("eligible").groupBy(F.least("n_files", F.lit(12)).cast("long").alias("bucket"))),
     "authors_per_file": ("select least(distinct_authors, 8)::bigint as bucket, count(*) as n from marginals group by 1", lambda h, k: c.file_marginals(h, k).groupBy(F.least("distinct_authors", F.lit(8)).cast("long").alias("bucket"))),
     "pair_support": ("select least(n_ab, 10)::bigint as bucket, count(*) as n from pairs group by 1", lambda h, k: c.pair_counts(c.baskets(h, k)).groupBy(F.least("n_ab", F.lit(10)).cast("long").alias("bucket"))),
-    "repo_recency": ("select case when age <= 30 then '30' when age <= 180 then '180' when age <= 365 then '365' else 'older' end as bucket, count(*) as n from (select repo, floor((epoch(timestamp '2001-12-01') - epoch(max(committed_at))) / 86400) as age from commits group by 1) group by 1",
-                     lambda h, k: k.groupBy("repo").agg(F.floor((c.as_of_epoch(AS_OF) - F.max(c.epoch("committed_at"))) / 86400).alias("age")).groupBy(F.when(F.col("age") <= 30, "30").when(F.col("age") <= 180, "180").when(F.col("age") <= 365, "365").otherwise("older").alias("bucket"))),
-    "repo_sizes": ("select case when n < 1000 then 'small' when n < 10000 then 'medium' else 'large' end as bucket, count(*) as n from (select repo, count(*) as n from commits group by 1) group by 1",
-                   lambda h, k: k.groupBy("repo").agg(F.count(F.lit(1)).alias("m")).groupBy(F.when(F.col("m") < 1000, "small").when(F.col("m") < 10000, "medium").otherwise("large").alias("bucket"))),
+    "repo_recency": ("select case when age < 30 then 'past month' when age < 180 then 'past 6 months' when age < 365 then 'past year' else 'over a year' end as bucket, count(*) as n from (select repo, floor((epoch(timestamp '2001-12-01') - epoch(max(committed_at))) / 86400) as age from commits group by 1) group by 1",
+                     lambda h, k: k.groupBy("repo").agg(F.floor((c.as_of_epoch(AS_OF) - F.max(c.epoch("committed_at"))) / 86400).alias("age")).groupBy(F.when(F.col("age") < 30, "past month").when(F.col("age") < 180, "past 6 months").when(F.col("age") < 365, "past year").otherwise("over a year").alias("bucket"))),
+    "repo_sizes": ("select case when n < 100 then '<100' when n < 1000 then '100-1k' when n < 10000 then '1k-10k' else '10k+' end as bucket, count(*) as n from (select repo, count(*) as n from commits group by 1) group by 1",
+                   lambda h, k: k.groupBy("repo").agg(F.count(F.lit(1)).alias("m")).groupBy(F.when(F.col("m") < 100, "<100").when(F.col("m") < 1000, "100-1k").when(F.col("m") < 10000, "1k-10k").otherwise("10k+").alias("bucket"))),
 }
 
 

@@ -191,3 +191,53 @@ def test_list_repos(spark, options, want):
     repos = spark.createDataFrame([("a", "o/a", "x", "go", "ready", 1, None, True), ("b", "o/b", "is 100% done", None, "ready", 2, 1, True), ("c", "o/c", None, "go", "failed", 3, 1, False)], "name string, full_name string, description string, primary_language string, ingest_status string, commit_count long, account_id long, is_enabled boolean")
     assert [x.name for x in r.list_repos(repos, **options).collect()] == want
     assert rows(r.get_repo(repos, "o/c"), "name") == [("c",)] and r.get_repo(repos, "none").count() == 0
+
+
+def test_deleted_by_the_tree(spark):
+    from lockstep.operators.coupling import deleted_files
+
+    files = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("q", 3, "c"), ("q", 4, "d")], "repo string, file_id long, path string")
+    changes = spark.createDataFrame([("r", 1, 1, "M"), ("r", 1, 2, "M"), ("q", 2, 3, "D"), ("q", 2, 4, "M")], "repo string, commit_id long, file_id long, change_type string")
+    commits = spark.sql("select * from values ('r', 1L, 1L, timestamp '2024-01-01', false, false, 2L), ('q', 2L, 1L, timestamp '2024-01-01', false, false, 2L) as (repo, commit_id, author_id, committed_at, is_merge, is_replay, n_files)")
+    tree = spark.createDataFrame([("r", "a")], "repo string, path string")
+    assert rows(deleted_files(changes, commits, files=files, tree=tree), "file_id", "is_deleted") == [(1, False), (2, True), (3, True), (4, False)]
+
+
+def test_a_registered_measure(spark):
+    from lockstep.functions import measures as ms
+
+    ms.register_measure(ms.Measure("twice", "similarity", lambda t: 2 * t.a), "double")
+    try:
+        df = spark.createDataFrame([(3, 5, 6, 100)], "n_ab long, n_a long, n_b long, n_total long")
+        assert ms.with_measures(df, ["Double "]).first().twice == 6
+    finally:
+        ms.REGISTRY.pop("twice")
+        ms.ALIASES.pop("double")
+
+
+def test_a_batch_tried_again_is_stored_once(spark, tmp_path):
+    from lockstep.streaming import calls as sc
+
+    writer = {}
+
+    class Stream:
+        def __init__(self, rows):
+            self.rows = rows
+
+        writeStream = property(lambda self: self)
+
+        def foreachBatch(self, f):
+            writer["f"] = f
+            return self
+
+        option = trigger = lambda self, *a, **b: self
+
+        def start(self):
+            return self
+
+    path = str(tmp_path / "calls")
+    sc.append(Stream(None), path, str(tmp_path / "c"))
+    batch = spark.sql("select 1L id, timestamp '2024-01-01 01:00' at union all select 2L, timestamp '2024-01-02 01:00'")
+    for k in (0, 1, 1):
+        writer["f"](batch, k)
+    assert rows(spark.read.parquet(path).groupBy("batch").count(), "batch", "count") == [(0, 2), (1, 2)]
