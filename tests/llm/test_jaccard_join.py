@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lockstep.llm.jaccard_join import components, jaccard_groups, keep_one, op2_jaccard
+from lockstep.llm.jaccard_join import components, differences, jaccard_groups, keep_one, op2_jaccard, signatures
 
 
 def shingles(text, words):
@@ -84,3 +85,24 @@ def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted(((True, r.doc_id, r.n_shingles, r.component_id) for r in op2_jaccard(spark, sf_dir).collect()), key=str)
     assert got == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("percent", [85, 80, 50, 30])
+def test_linked_sets_share_enough_signatures(percent):
+    rng = np.random.default_rng(percent)
+    most, ranges = differences(percent)
+    checked = 0
+    for _ in range(300):
+        n = int(rng.integers(2, 400))
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        gone = int(rng.integers(0, max(1, n * (100 - percent) // 150 + 1)))
+        other = np.concatenate([base[gone:], rng.integers(0, 1 << 63, int(rng.integers(0, gone + 2)), dtype=np.uint64) * np.uint64(2)])
+        a, b = np.unique(base), np.unique(other)
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < percent * (len(a) + len(b) - both) or np.array_equal(a, b):
+            continue
+        checked += 1
+        who, kind, sig = signatures([a, b], percent)
+        shared = [len(np.intersect1d(sig[(who == 0) & (kind == k)], sig[(who == 1) & (kind == k)])) >= ranges[k] - most[k] for k in set(kind[who == 0]) & set(kind[who == 1])]
+        assert any(shared)
+    assert checked > 50
