@@ -121,8 +121,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(hashes + (ends - starts).astype(np.uint64)), starts, ends
 
 
-def grouped_texts(column, limit: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
-    """An Arrow string column as lists of UTF-8 texts of about limit bytes together, with the first row's number."""
+def grouped_texts(column, limit: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+    """An Arrow string column as lists of UTF-8 texts of about limit bytes together, with the first row's number.
+
+    Hashing words takes some ten arrays of eight times as many bytes, so that limit bounds a worker's memory.
+    """
     first, held, size = 0, [], 0
     for k, text in enumerate(column.to_pylist()):
         data = text.encode("utf-8", "surrogatepass") if text else b""

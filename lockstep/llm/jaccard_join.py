@@ -32,6 +32,7 @@ from .common import batches, discard, document_words, grouped_texts, materialise
 from .url_filter import with_possible
 
 MEMBERS = 64
+GROUP_TOKENS = 500_000
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -136,11 +137,23 @@ def _signed(words: int, percent: int):
     group. What a document met within the group is one row more, -(class + _CLASSES * number), of a signature of its own.
     """
 
+    def told(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        who, kind, sig = signatures(sets, percent)
+        docs = np.array(ids, np.int64)
+        _, at, where, times = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
+        met = times[where] > 1
+        pair, number = np.unique(who[met] * _CLASSES + kind[met], return_counts=True)
+        own = mix64(docs[pair // _CLASSES].view(np.uint64) * _STEP + pair.astype(np.uint64))
+        sigs = np.concatenate([sig[at], own])
+        tags = np.concatenate([kind[at] + _CLASSES * (times == 1), -(pair % _CLASSES + _CLASSES * number)])
+        docs = np.concatenate([docs[who[at]], docs[pair // _CLASSES]])
+        return pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(docs), pa.array(tags.astype(np.int64))], names=["sig", "doc_id", "tag"])
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
+        ids, sets, held = [], [], 0
         for batch in rows:
-            for first, texts in grouped_texts(batch.column(1), 1 << 22):
-                ids, sets = [], []
+            for first, texts in grouped_texts(batch.column(1)):
                 for doc_id, tokens in zip(batch.column(0).slice(first, len(texts)).to_pylist(), token_sets(texts, words), strict=True):
                     mark = tokens.sum(dtype=np.uint64).tobytes() + mix64(tokens).sum(dtype=np.uint64).tobytes()
                     if not len(tokens) or mark in known:
@@ -149,18 +162,12 @@ def _signed(words: int, percent: int):
                         known.add(mark)
                     ids.append(doc_id)
                     sets.append(tokens)
-                if not sets:
-                    continue
-                who, kind, sig = signatures(sets, percent)
-                ids = np.array(ids, np.int64)
-                _, at, where, times = np.unique(sig, return_index=True, return_inverse=True, return_counts=True)
-                met = times[where] > 1
-                pair, number = np.unique(who[met] * _CLASSES + kind[met], return_counts=True)
-                own = mix64(ids[pair // _CLASSES].view(np.uint64) * _STEP + pair.astype(np.uint64))
-                sigs = np.concatenate([sig[at], own])
-                docs = np.concatenate([ids[who[at]], ids[pair // _CLASSES]])
-                tags = np.concatenate([kind[at] + _CLASSES * (times == 1), -(pair % _CLASSES + _CLASSES * number)])
-                yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(docs), pa.array(tags.astype(np.int64))], names=["sig", "doc_id", "tag"])
+                    held += len(tokens)
+                    if held >= GROUP_TOKENS:
+                        yield told(ids, sets)
+                        ids, sets, held = [], [], 0
+        if sets:
+            yield told(ids, sets)
 
     return run
 
@@ -250,7 +257,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     Repeated rows stay, a result each, and rows of one id count as one node with all their links. A null id has a
     null component. Other columns are ignored; an empty table gives an empty one. percent is from 1 to 100.
     """
-    batches(docs.sparkSession, 2000)
+    batches(docs.sparkSession, 500)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
     facts = materialise(rows.mapInArrow(_facts(words), "doc_id long, n long, s1 long, s2 long"), "facts")

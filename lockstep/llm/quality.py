@@ -28,7 +28,7 @@ GRADES = 3
 FIT_ROWS = 8_000
 FIT_ENTRIES = 16_000_000  # places with counts, 8 bytes each
 BLOCK_ENTRIES = 1 << 20
-CHUNK = 1 << 20  # bytes of texts whose features are held at once
+CHUNK = 1 << 19  # bytes of texts whose features are held at once
 MIN_KEPT = 0.995
 BITS = 18
 SIZE = 2 << BITS  # words, then trigrams; one more weight for repeats
