@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import with_measures
-from ..schemas import DRIFT_WINDOW_DAYS, HALF_LIFE_DAYS, MAX_FILES_PER_COMMIT, MIN_PAIR_SUPPORT, RISK_EVIDENCE
+from ..schemas import DRIFT_WINDOW_DAYS, HALF_LIFE_DAYS, LABEL_ROUNDS, MAX_FILES_PER_COMMIT, MIN_PAIR_SUPPORT, RISK_EVIDENCE
 from ..sinks.steps import discard, step
 
 
@@ -210,7 +210,7 @@ def file_risk(marginals: DataFrame, pair_rows: DataFrame, owners: DataFrame, as_
     return rows.select("repo", "file_id", "change_count", "partners", "churn_pct", "coupling_pct", "hhi", F.when(F.col("hhi") > 0, 1 / F.when(F.col("hhi") > 0, F.col("hhi"))).alias("effective_authors"), days.alias("days_since"), (F.col("churn_pct") * F.col("coupling_pct") * (1 + F.col("hhi")) * weight).alias("risk"))
 
 
-def clusters(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def clusters(edges: DataFrame, rounds: int = LABEL_ROUNDS) -> DataFrame:
     """(repo, node, label): synchronous label propagation over (repo, a, b, weight); ties go to the smallest label.
 
     Labels start as the nodes' ids. Every round is a stored step, so that lineage stays short; it ends early when no

@@ -9,6 +9,7 @@ from ..functions import measures, text
 from ..operators import coupling as c
 from ..operators import events as ev
 from ..operators import graph as g
+from ..schemas import CLUSTER_MIN_SUPPORT
 from ..sources import roles
 from ..sources.roles import AS_OF, EVENTS_AS_OF
 from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
@@ -404,7 +405,7 @@ def risky_items(s, d):
 
 @query("clusters")
 def clusters(s, d):
-    edges = _metrics(s, d, ["npmi"]).where("n_ab >= 3 and npmi > 0").select("repo", "a", "b", F.col("npmi").alias("weight"))
+    edges = _metrics(s, d, ["npmi"]).where(f"n_ab >= {CLUSTER_MIN_SUPPORT} and npmi > 0").select("repo", "a", "b", F.col("npmi").alias("weight"))
     return c.clusters(edges).groupBy("repo", "label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first")).where("size >= 2")
 
 
@@ -546,6 +547,12 @@ def calls_prune(s, d):
     return ev.pruned(roles.calls(s, d), EVENTS_AS_OF, 10, 500).select("id")
 
 
+@query("call_sessions", _CALLS + """, x as (select client, ts, id, floor(epoch(ts))::bigint - lag(floor(epoch(ts))::bigint) over (partition by client order by ts, id) as gap from calls)
+select client, sum(case when gap is null or gap > 1800 then 1 else 0 end)::bigint as sessions, count(*) as calls from x group by 1""")
+def call_sessions(s, d):
+    return ev.sessions(roles.calls(s, d))
+
+
 # --- text ------------------------------------------------------------------------------------------------------
 
 

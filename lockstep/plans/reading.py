@@ -15,6 +15,7 @@ from ..operators import coupling as c
 from ..operators import graph as g
 from ..operators import mining as m
 from ..operators import reading as r
+from ..schemas import CLUSTER_MIN_SUPPORT
 from ..sinks import tables as sink
 from ..sources import manifests, roles
 from ..sources.roles import AS_OF, EVENTS_AS_OF
@@ -304,7 +305,7 @@ def top_owners(s, d):
 
 
 def _clusters(s: SparkSession, d: str) -> DataFrame:
-    edges = _metrics(s, d, ["npmi"]).where("n_ab >= 3 and npmi > 0").select("repo", "a", "b", F.col("npmi").alias("weight"))
+    edges = _metrics(s, d, ["npmi"]).where(f"n_ab >= {CLUSTER_MIN_SUPPORT} and npmi > 0").select("repo", "a", "b", F.col("npmi").alias("weight"))
     return m.cluster_stats(c.clusters(edges), edges, _files(s, d))
 
 
