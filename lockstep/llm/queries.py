@@ -11,6 +11,7 @@ from .jaccard_join import OP2_SQL, op2_jaccard
 from .knn import OP1_SQL, op1_knn
 from .mixing import op9_mixing
 from .mpeg_audio import op8_mpeg_audio
+from .periodic_runs import op11_periodic_runs
 from .quality import op3_quality
 from .secrets import op6_secrets
 from .suffix_tree import op7_suffix_tree
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": op8_mpeg_audio,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
