@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_bpe
+from .collocations import OP12_SQL, op12_collocations
 from .jaccard_join import OP2_SQL, op2_jaccard
 from .knn import OP1_SQL, op1_knn
 from .mixing import op9_mixing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_jaccard": OP2_SQL,
     "op5_warc": OP5_SQL,
     "op10_url_filter": OP10_SQL,
+    "op12_collocations": OP12_SQL,
 }
