@@ -10,6 +10,7 @@ from .bpe import op4_bpe
 from .collocations import OP12_SQL, op12_collocations
 from .jaccard_join import OP2_SQL, op2_jaccard
 from .knn import OP1_SQL, op1_knn
+from .license_scan import OP13_SQL, op13_license_scan
 from .mixing import op9_mixing
 from .mpeg_audio import op8_mpeg_audio
 from .periodic_runs import op11_periodic_runs
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_collocations": op12_collocations,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op10_url_filter": OP10_SQL,
     "op12_collocations": OP12_SQL,
+    "op13_license_scan": OP13_SQL,
 }
