@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.steps import shared_dir
 from ..sources import manifests, roles
+from ..sources.log_source import read_log, write_log
 from .registry import query
 
 #: Of each kind: the file's name, what stands before its entries, an entry, what divides them, and what stands after them.
@@ -50,3 +54,93 @@ def manifest_entries(s, d):
 @query("lock_entries", _NAMED + " select l_suppkey::varchar as repo, case kind when 3 then 'rust' else 'npm' end as ecosystem, 'p' || l_partkey as name, '1.' || p_size || '.0' as version from x where kind in (3, 5)")
 def lock_entries(s, d):
     return manifests.parse_locks(manifest_files(s, d)).select("repo", "ecosystem", "name", "version")
+
+
+# --- commit logs ----------------------------------------------------------------------------------------------------------
+
+
+def log_of_orders(s: SparkSession, d: str, folder: str, segment=None, mode: str = "error") -> None:
+    """Writes every order as a commit of its customer's segment of the market, every line as a change.
+
+    An urgent order is a merge; a line that was returned is a rename, its similarity by the part's number.
+    """
+    orders = roles.table(s, d, "orders").join(roles.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("repo")), "o_custkey")
+    path = F.concat(F.lit("p"), F.col("l_partkey"), F.lit("/s"), F.col("l_suppkey"), F.lit("/l"), F.col("l_linenumber"), F.lit("-"), F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(".go"))
+    returned = F.col("l_returnflag") == "R"
+    status = F.when(returned, F.concat(F.lit("R0"), (F.lit(40) + F.pmod("l_partkey", F.lit(60))).cast("string"))).otherwise("M")
+    paths = F.when(returned, F.array(F.concat(F.lit("old/"), path), path)).otherwise(F.array(path))
+    raw = F.concat(F.array(F.concat(F.lit(":100644 100644 a b "), status)), paths)
+    counts = F.concat_ws("\t", F.col("l_quantity").cast("long"), F.col("l_linenumber"))
+    numstat = F.when(returned, F.concat(F.array(F.concat(counts, F.lit("\t"))), paths)).otherwise(F.array(F.concat(counts, F.lit("\t"), path)))
+    lines = roles.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), numstat.alias("numstat"))
+    lines = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "raw", "numstat"))).alias("lines"))
+    items = F.flatten(F.concat(F.transform("lines", lambda x: x["raw"]), F.transform("lines", lambda x: x["numstat"])))
+    sha = lambda key: F.md5(key.cast("string"))
+    key = F.col("o_orderkey")
+    parents = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat_ws(" ", sha(key - 1), sha(key - 2))).otherwise(sha(key - 1))
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    who = F.concat(F.lit("c"), F.col("o_custkey"))
+    mail = F.concat(who, F.lit("@x.org"))
+    head = F.array(sha(key), parents, who, mail, at, who, mail, at, F.concat(F.lit("order "), key), F.lit("body"))
+    rows = orders.join(lines, "o_orderkey", "left").select("repo", (F.lit(1) if segment is None else segment).alias("segment"), key.alias("nr"), head.alias("head"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
+    write_log(rows, folder, mode)
+
+
+def _folder(s: SparkSession, tag: str) -> str:
+    return f"{shared_dir(s)}/{tag}-{uuid.uuid4().hex}"
+
+
+_LOG = """with x as (
+  select c_mktsegment as repo, o_orderkey, o_orderdate, o_orderpriority = '1-URGENT' as is_merge, l_returnflag = 'R' as moved, 40 + l_partkey % 60 as likeness, l_quantity, l_linenumber
+  from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey),
+changes as (
+  select repo, o_orderkey, o_orderdate, is_merge, case when not moved then 'M' when likeness >= {similarity} then 'R' else 'A' end as change_type, l_quantity::bigint as insertions, l_linenumber::bigint as deletions from x
+  union all select repo, o_orderkey, o_orderdate, is_merge, 'D', 0, 0 from x where moved and likeness < {similarity})"""
+
+
+@query("log_scan", _LOG.format(similarity=70) + """
+select repo, change_type, count(*) as changes, count(distinct o_orderkey) as commits, sum(insertions)::bigint as insertions, sum(deletions)::bigint as deletions from changes where not is_merge group by 1, 2""")
+def log_scan(s, d):
+    """The orders, exported as a log and read back without merges, renames below 70 % as additions and deletions."""
+    folder = _folder(s, "log")
+    log_of_orders(s, d, folder)
+    rows = read_log(s, folder, rename_similarity=70).select("repo", "sha", F.inline("changes"))
+    sums = [F.sum(c).alias(c) for c in ("insertions", "deletions")]
+    return rows.groupBy("repo", "change_type").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("sha").alias("commits"), *sums)
+
+
+@query("log_scan_bounded", _LOG.format(similarity=50) + """
+select repo, o_orderkey as commit_id, epoch(o_orderdate)::bigint as committed_at, is_merge, count(*) filter (change_type = 'R') as renames, count(*) as changes
+from changes where repo = 'BUILDING' and o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1999-01-01' group by all""")
+def log_scan_bounded(s, d):
+    """One repository's commits of two years, merges among them: both bounds are pushed into the scan."""
+    folder = _folder(s, "log")
+    log_of_orders(s, d, folder)
+    rows = read_log(s, folder, merges="true").where("repo = 'BUILDING' and committed_at >= '1997-01-01' and committed_at < '1999-01-01' and size(changes) > 0")
+    return rows.select("repo", F.substring_index("subject", " ", -1).cast("long").alias("commit_id"), F.unix_timestamp("committed_at").alias("committed_at"), "is_merge", F.size(F.filter("changes", lambda c: c["change_type"] == "R")).cast("long").alias("renames"), F.size("changes").cast("long").alias("changes"))
+
+
+@query("log_stream", """select c_mktsegment as repo, count(*) as commits, count(distinct o_orderkey) as shas, sum(case when o_orderdate < timestamp '1998-07-01' then 1 else 0 end)::bigint as first_trigger
+from orders join customer on o_custkey = c_custkey group by 1""")
+def log_stream(s, d):
+    """Two triggers over a log that grows between them: each commit comes once, those of the first segment with the first."""
+    folder, out, check = (_folder(s, tag) for tag in ("log", "log-table", "log-tips"))
+    seen = read_log_batches(s, d, folder, out, check)
+    return seen.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("sha").alias("shas"), F.count_if(F.col("batch") == 0).alias("first_trigger"))
+
+
+def read_log_batches(s: SparkSession, d: str, folder: str, out: str, check: str) -> DataFrame:
+    late = F.when(F.col("o_orderdate") < F.lit("1998-07-01").cast("timestamp_ntz"), 1).otherwise(2)
+    both = _folder(s, "log-both")
+    log_of_orders(s, d, both, late)
+    lines = s.read.option("lineSep", "\x00").option("wholetext", "false").schema("value string, repo string, segment int")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("batch", F.lit(batch_id))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+
+    for segment in (1, 2):
+        lines.text(both).where(F.col("segment") == segment).write.mode("append").partitionBy("repo", "segment").option("lineSep", "\x00").text(folder)
+        run = read_log(s, folder, stream=True, merges="true").select("repo", "sha").writeStream.foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return s.read.parquet(out)
