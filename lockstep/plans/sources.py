@@ -144,3 +144,38 @@ def read_log_batches(s: SparkSession, d: str, folder: str, out: str, check: str)
         run = read_log(s, folder, stream=True, merges="true").select("repo", "sha").writeStream.foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
         run.awaitTermination()
     return s.read.parquet(out)
+
+
+# --- stateful streams -----------------------------------------------------------------------------------------------------
+
+_CALLS = "with calls as (select event_id as id, user_id::varchar as client, epoch_us(ts) // 1000 as at_ms from events), mark as (select max(at_ms) - 3600000 as w from calls)"
+
+
+def _stored_stream(rows: DataFrame, s: SparkSession, tag: str) -> DataFrame:
+    """Runs a stream over what its source holds, to its end, and gives the stored rows."""
+    out = _folder(s, tag)
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", _folder(s, f"{tag}-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(rows.schema).parquet(out)
+
+
+@query("idle_runs_stream", _CALLS + """,
+next as (select *, lead(at_ms) over (partition by client order by at_ms, id) as following from calls),
+ends as (select client, at_ms from next, mark where following - at_ms > 86400000 or (following is null and at_ms + 86400000 <= w)),
+spans as (select client as id, at_ms as last_ms, lag(at_ms) over (partition by client order by at_ms) as before from (select distinct * from ends))
+select id, last_ms, (select count(*) from calls c where c.client = s.id and c.at_ms <= s.last_ms and (s.before is null or c.at_ms > s.before)) as beats from spans s""")
+def idle_runs_stream(s, d):
+    """Clients that fell silent for more than a day, as a stream with timers, and their calls since the silence before."""
+    from ..streaming.calls import read_calls
+    from ..streaming.runs import idle_runs
+
+    return _stored_stream(idle_runs(read_calls(s, d), "client", 24 * 60), s, "idle")
+
+
+@query("expired_calls_stream", _CALLS + """, x as (select id, ceil((at_ms + 10 * 86400000) / 86400000)::bigint * 86400000 as expired_ms from calls)
+select id, expired_ms from x, mark where expired_ms <= w""")
+def expired_calls_stream(s, d):
+    """Calls that are out of a retention of ten days by the watermark, dropped by timers at the ends of days."""
+    from ..streaming.calls import read_calls
+    from ..streaming.runs import expired_calls
+
+    return _stored_stream(expired_calls(read_calls(s, d), "client", 10), s, "expired")

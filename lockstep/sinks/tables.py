@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised, version_key
+from ..operators.ancestry import ancestry, reached
 from ..operators.coupling import as_of_epoch, epoch
-from .steps import step
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -73,20 +73,9 @@ def stale_repos(repos: DataFrame, mark: str, manifests: DataFrame | None = None,
     return rows if manifests is None else rows.join(manifests.select("repo").distinct(), "repo", "left_semi")
 
 
-def beyond_tips(commits: DataFrame, tips: DataFrame, parents: DataFrame, rounds: int = 64) -> DataFrame:
-    """Commits (repo, sha) not reachable from the stored ref tips (repo, sha), by parents (repo, child_sha, parent_sha).
-
-    Each round takes one more generation of ancestors of the tips, as a stored step; it ends when none is new or after
-    rounds, and then commits further down count as new, which a load by key skips again.
-    """
-    seen = front = step(tips.select("repo", "sha").distinct(), "tips")
-    for _ in range(rounds):
-        up = front.join(parents.withColumnRenamed("child_sha", "sha"), ["repo", "sha"]).select("repo", F.col("parent_sha").alias("sha")).distinct()
-        front = step(up.join(seen, ["repo", "sha"], "left_anti"), "front")
-        if front.isEmpty():
-            break
-        seen = step(seen.unionByName(front), "seen")
-    return commits.join(seen, ["repo", "sha"], "left_anti")
+def beyond_tips(commits: DataFrame, tips: DataFrame, parents: DataFrame) -> DataFrame:
+    """Commits (repo, sha) not reachable from the stored ref tips (repo, sha), by parents (repo, child_sha, parent_sha)."""
+    return commits.join(reached(tips, ancestry(parents)), ["repo", "sha"], "left_anti")
 
 
 # Columns that a plain clone knows nothing of, and columns that a null never overwrites.
