@@ -179,3 +179,49 @@ def expired_calls_stream(s, d):
     from ..streaming.runs import expired_calls
 
     return _stored_stream(expired_calls(read_calls(s, d), "client", 10), s, "expired")
+
+
+# --- incremental state ----------------------------------------------------------------------------------------------------
+
+
+@query("retracted_pairs", """with commits as (
+  select c_mktsegment as repo, o_orderkey as commit_id from orders join customer on o_custkey = c_custkey join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey
+  where o_orderstatus <> 'P' and n <= 60 and o_orderpriority <> '5-LOW'),
+items as (select distinct repo, commit_id, l_suppkey as f from commits join lineitem on l_orderkey = commit_id)
+select x.repo, x.f as a, y.f as b, count(*) as n_ab from items x join items y on x.commit_id = y.commit_id and x.f < y.f group by 1, 2, 3 having count(*) >= 2""")
+def retracted_pairs(s, d):
+    """Pair counts by signed changes: orders before 1999, then the later ones come and all of low priority go."""
+    from ..operators import coupling as c
+    from ..sinks import deltas
+
+    rows = c.baskets(roles.changes(s, d), roles.commits(s, d))
+    folder, early = _folder(s, "state"), F.col("committed_at") < F.lit("1999-01-01").cast("timestamp")
+    low = roles.table(s, d, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("commit_id"))
+    gone = rows.join(low, "commit_id", "left_semi").select("repo", "commit_id")
+    deltas.apply_changes(s, folder, rows.where(early), gone.limit(0))
+    deltas.apply_changes(s, folder, rows.where(~early), gone)
+    return deltas.pair_counts(s, folder)
+
+
+@query("reached_commits", """with recursive o as (
+  select o_orderkey as k, n_name as repo, o_orderpriority = '1-URGENT' as merges, lag(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as p1,
+    lag(o_orderkey) over (partition by c_nationkey order by o_orderdate, o_orderkey) as p2, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as n, c_acctbal
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey),
+edges as (select repo, k, p1 as p from o where p1 is not null union select repo, k, p2 from o where merges and p2 is not null),
+r as (select repo, k from o where n is null and c_acctbal > 9000 union select e.repo, e.p from r join edges e on e.repo = r.repo and e.k = r.k)
+select repo, count(*) as reached, sum(k)::bigint as keys from r group by 1""")
+def reached_commits(s, d):
+    """Orders whose parent is the customer's order before, urgent ones merging the nation's; what the last orders of rich customers reach."""
+    from pyspark.sql import Window
+
+    from ..operators.ancestry import ancestry, reached
+
+    customer = roles.table(s, d, "customer").join(roles.table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("repo"), "c_acctbal")
+    orders = roles.table(s, d, "orders").join(customer, "o_custkey")
+    by = lambda *keys: Window.partitionBy(*keys).orderBy("o_orderdate", "o_orderkey")
+    sha = lambda c: c.cast("string")
+    rows = orders.select("repo", F.col("o_orderkey").alias("k"), F.lag("o_orderkey").over(by("o_custkey")).alias("p1"), F.when(F.col("o_orderpriority") == "1-URGENT", F.lag("o_orderkey").over(by("repo"))).alias("p2"), F.lead("o_orderkey").over(by("o_custkey")).isNull().alias("last"), "c_acctbal")
+    parents = rows.select("repo", sha(F.col("k")).alias("child_sha"), F.posexplode(F.array("p1", "p2")).alias("nr", "p")).where("p is not null").withColumn("parent_sha", sha(F.col("p")))
+    tips = rows.where("last and c_acctbal > 9000").select("repo", sha(F.col("k")).alias("sha"))
+    found = reached(tips, ancestry(parents))
+    return found.groupBy("repo").agg(F.count(F.lit(1)).alias("reached"), F.sum(F.col("sha").cast("long")).alias("keys"))
