@@ -592,3 +592,28 @@ def backtest_hit_rate(s, d):
     from ..operators import backtest
 
     return backtest.rates(backtest.replay(c.baskets(*_history(s, d)))).select("repo", "prompts", "hit")
+
+
+_MEASURES = ["confidence_ab", "log_likelihood_ratio", "jaccard", "npmi", "confidence_ba"]
+
+
+@query("backtest_measures", BASE + """, x as (select distinct repo, commit_id, committed_at, file_id from dated where eligible),
+nrs as (select repo, commit_id, row_number() over (partition by repo order by committed_at, commit_id) as nr, size from (select repo, commit_id, committed_at, count(*) as size from x group by all)),
+u as (select x.repo, x.commit_id, file_id, nr, size, row_number() over (partition by x.repo, file_id order by nr) - 1 as before from x join nrs using (repo, commit_id)),
+ev as (select a.repo, a.file_id as seed, b.file_id as other, a.nr from u a join u b on a.commit_id = b.commit_id and a.file_id <> b.file_id),
+asked as (select * from u where nr > 20 and size between 2 and 25),
+pairs_at as (select p.repo, p.commit_id, p.file_id as seed, p.nr, p.before as n_a, e.other, count(*) as n_ab from asked p join ev e on e.repo = p.repo and e.seed = p.file_id and e.nr < p.nr group by all having count(*) >= 2),
+counts as (select a.repo, a.commit_id, seed, other, n_ab, n_a, a.nr - 1 as n_total, u.before + 1 as n_b from pairs_at a asof join (select repo, file_id, nr, before from u) u on u.repo = a.repo and u.file_id = a.other and a.nr > u.nr),
+cells_at as (select *, n_ab::double as ca, n_a - n_ab::double as cb, n_b - n_ab::double as cc, n_total - n_a - n_b + n_ab::double as cd, n_a::double as na, n_b::double as nb, n_total::double as n from counts),
+scores as (""" + " union all ".join(f"select repo, commit_id, seed, other, '{key}' as measure, round({_FORMULAS[key]}, 9) as score from cells_at" for key in _MEASURES) + """),
+offers as (select * from scores qualify row_number() over (partition by measure, commit_id, seed order by score desc, other) <= 5),
+hits as (select measure, o.repo, o.commit_id, seed, count(*) as hits from offers o join u on u.commit_id = o.commit_id and u.file_id = o.other group by all)
+select m.measure, p.repo, count(*) as prompts, count(h.hits) as hit, coalesce(sum(h.hits), 0)::bigint as found
+from asked p cross join (select unnest(['confidence_ab', 'log_likelihood_ratio', 'jaccard', 'npmi', 'confidence_ba']) as measure) m left join hits h on h.measure = m.measure and h.commit_id = p.commit_id and h.seed = p.file_id group by 1, 2""")
+def backtest_measures(s, d):
+    """How often five measures name a file of the commit among their first five, over all of history as of each commit."""
+    from ..operators import replay
+
+    results = replay.replay_measures(c.baskets(*_history(s, d)), _MEASURES)
+    found = results.groupBy("repo", "measure").agg(F.count(F.lit(1)).alias("prompts"), F.count_if(F.col("hits") > 0).alias("hit"), F.sum("hits").alias("found"))
+    return found.select("measure", "repo", "prompts", "hit", "found")
