@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounds, directory, ordinal, repo_ref, version_key
+from ..sinks.steps import step
 from ..sources.manifests import PATH_ECOSYSTEMS
 from .coupling import epoch
+from .dominance import latest_below
 
 #: What a declared string that is a floor begins with.
 FLOOR_SIGNS = ("^", "~", ">", "<", "=")
@@ -123,16 +125,19 @@ def resolve_versions(rows: DataFrame, tags: DataFrame, commits: DataFrame, width
     the one commit that tags of the version's key name (tag, or floor for a version that begins with a sign); the newest
     release below a ceiling, tagged at or before consumer_at. An upstream commit later than the consumer resolves nothing.
     """
-    rows = with_version_key(rows)
+    rows = step(with_version_key(rows), "bumps")
     heads = commits.select(F.col("repo").alias("dep_repo"), F.substring("sha", 1, width).alias("_head"), "sha", "commit_id")
     pinned = rows.where(F.length("dep_sha") >= width).withColumn("_head", F.substring("dep_sha", 1, width)).join(heads, ["dep_repo", "_head"])
     pinned = pinned.where(F.col("sha").startswith(F.col("dep_sha"))).groupBy("id").agg(F.min_by("commit_id", "sha").alias("commit_id"))
     known = tags.where("version_key is not null and commit_id is not null")
     unique = known.groupBy(F.col("repo").alias("dep_repo"), "version_key").agg(F.count_distinct("commit_id").alias("_n"), F.min("commit_id").alias("commit_id")).where("_n = 1").drop("_n")
     releases = known.select(F.col("repo").alias("dep_repo"), ordinal(F.col("version_key")).alias("_ordinal"), "commit_id", "tagged_at").where("_ordinal is not null")
-    below = rows.where("limit is not null").select("id", "dep_repo", "limit", "consumer_at").join(releases, "dep_repo")
-    below = below.where((F.col("_ordinal") < F.col("limit")) & (F.col("tagged_at").isNull() | (F.col("tagged_at") <= F.col("consumer_at"))))
-    below = below.groupBy("id").agg(F.max(F.struct("_ordinal", "commit_id")).alias("_best")).select("id", F.col("_best.commit_id").alias("commit_id"))
+    asked = rows.where("limit is not null").select("id", F.col("dep_repo").alias("key"), F.col("consumer_at").alias("at"), F.col("limit").alias("below"))
+    # a release without a time is older than any request
+    releases = step(releases.withColumn("_at", F.coalesce("tagged_at", F.lit("0001-01-01").cast("timestamp"))), "releases")
+    best = latest_below(asked, releases.select(F.col("dep_repo").alias("key"), F.col("_ordinal").alias("ordinal"), F.col("_at").alias("at"))).where("ordinal is not null")
+    below = best.join(releases, (best["key"] == releases["dep_repo"]) & (best["ordinal"] == releases["_ordinal"]) & (releases["_at"] <= best["at"]))
+    below = below.groupBy("id").agg(F.max_by("commit_id", F.struct("ordinal", "commit_id")).alias("commit_id"))
 
     rows = _found(_found(rows.join(unique.withColumnRenamed("commit_id", "_tag"), ["dep_repo", "version_key"], "left"), pinned, "_sha"), below, "_ceiling")
     sign = F.substring("version", 1, 1).isin(*FLOOR_SIGNS)

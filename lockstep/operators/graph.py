@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import MAX_FILES_PER_SIDE, MAX_PAIRS_PER_BUMP
 from .coupling import as_of_epoch, epoch
+from .dominance import latest_below
 
 
 def resolved(bumps: DataFrame) -> DataFrame:
@@ -46,16 +47,9 @@ def upstream(edges: DataFrame) -> DataFrame:
 
 
 def asof_ceiling(requests: DataFrame, releases: DataFrame) -> DataFrame:
-    """Requests (id, key, at, below) with the largest ordinal below the bound of the releases (key, ordinal, tagged_at) at or before at.
-
-    Requests and the releases below a bound are one sequence in time, over which a running maximum goes; releases are repeated
-    for each distinct bound of a key, not for each request.
-    """
-    limits = requests.select("key", "below").distinct()
-    fitting = releases.join(limits, "key").where(F.col("ordinal") < F.col("below")).select("key", "below", F.col("tagged_at").alias("at"), F.lit(0).alias("asks"), "ordinal", F.lit(None).cast(requests.schema["id"].dataType).alias("id"))
-    asking = requests.select("key", "below", "at", F.lit(1).alias("asks"), F.lit(None).cast(releases.schema["ordinal"].dataType).alias("ordinal"), "id")
-    so_far = F.max("ordinal").over(Window.partitionBy("key", "below").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return fitting.unionByName(asking).withColumn("ordinal", so_far).where("asks = 1").drop("asks")
+    """Requests (id, key, at, below) with the largest ordinal below the bound of the releases (key, ordinal, tagged_at) at or before at."""
+    points = releases.select("key", "ordinal", F.col("tagged_at").alias("at"))
+    return latest_below(requests.select("id", "key", "at", "below"), points)
 
 
 def unique_match(requests: DataFrame, tags: DataFrame) -> DataFrame:
