@@ -186,8 +186,7 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, factor: float =
 
     Scores are integer inner products of the quantised vectors, ties go to smaller ids, and a query's own row is no
     candidate. Rows with a null id, or whose vector is null or holds a null, NaN or infinite component, take no part.
-    Rows that repeat id and vector count once as candidates, and each of them as a query; of an id with several
-    vectors every vector is a row of its own. Shorter vectors count as padded with zeros. Other columns are
+    Every row is a candidate and, if it asks, a query of its own, also where rows repeat an id or a vector. Shorter vectors count as padded with zeros. Other columns are
     ignored; with fewer than k candidates all are given; an empty table gives an empty result. Where components are so large
     that a score might not fit into 64 bits the job fails instead of giving wrapped scores.
     """
@@ -195,8 +194,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, factor: float =
     batches(spark, 4096)
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), factor).alias("vec"), is_query.alias("asks")).where("vec_id is not null and vec is not null")
     asked = rows.where("asks").select("vec_id", "vec")
-    best = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    classes = materialise(best.groupBy("vec").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")), "vectors")
+    best = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    classes = materialise(best.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
     wanted = asked.groupBy("vec").agg(F.count(F.lit(1)).alias("n"))
     n_classes = classes.count()
     found = classes.select("vec", F.xxhash64("vec").alias("h")).orderBy("h", "vec").limit(pivots).select("vec").toArrow()
@@ -227,7 +226,8 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, factor: float =
     merged = lambda x: F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k + 1).alias("top")
     tops = tops.groupBy("vec", F.pmod("block", F.lit(64)).alias("part")).agg(merged(0)).groupBy("vec").agg(merged(0))
     out = asked.join(tops, "vec").select(F.col("vec_id").alias("query_id"), "top")
-    other = F.filter("top", lambda x: ~(x["same"] & (x["vec_id"] == F.col("query_id"))))
+    own = F.array_position(F.transform("top", lambda x: x["same"] & (x["vec_id"] == F.col("query_id"))), F.lit(True))  # the query's own row, once
+    other = F.filter("top", lambda x, i: i + 1 != own)
     out = out.select("query_id", F.posexplode(F.slice(other, 1, k)).alias("pos", "hit"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.below")).alias("score"))
 
@@ -238,10 +238,10 @@ def op1_knn(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 with rows as (
-  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as vec from embeddings
+  select row_number() over () as nr, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as vec from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pairs as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.vec::double[], c.vec::double[])::bigint as score
-  from rows q join rows c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+  from rows q join rows c on q.nr <> c.nr where q.vec_id % 20 = 0),
 ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
 select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20"""

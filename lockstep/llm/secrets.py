@@ -1,13 +1,14 @@
-"""Secret scans: three base patterns, and a character convolutional network over every other candidate.
+"""Secret scans: three base patterns, and a character convolutional network over every candidate.
 
-Candidates are runs of 12 or more characters of [A-Za-z0-9+/_=-] that hold a letter and a digit: maximal ones, or what
-base spans leave of them. The network reads each with its surrounding context (one row of WIDTH bytes and a flag for
+Candidates are all base spans, and all runs of 12 or more characters of [A-Za-z0-9+/_=-] that are not one character
+repeated: maximal ones, or what base spans leave of them. The network reads each with its surrounding context (one row of WIDTH bytes and a flag for
 those that belong to the candidate; one of more than INSIDE bytes in overlapping windows, of which the highest score
 counts): byte embedding, one convolution, maximum over all places, logistic output. It is trained
-in numpy on labelled findings: rows of a seeded generator of secrets and look-alikes (UUIDs, versions, dates, paths,
-slugs, card numbers, addresses), half of them set in prose of the kind that has no secret nearby. Scores are
-calibrated on held-out findings by Platt's method, and the threshold is the best of those that keep min_recall of
-the held-out secrets. Base spans always stay; the network only adds spans, of kind "model".
+in numpy on labelled findings: rows of a seeded generator of secrets and look-alikes (long words and names, UUIDs, versions,
+dates, paths, slugs, rules of one character, numbers, addresses), half of them set in prose that has no secret nearby. Scores
+are calibrated on held-out findings by Platt's method, and the threshold is the best of those that keep min_recall of
+the held-out secrets. Base spans always stay, whatever their score; the network adds spans, of kind "model". How many
+base spans it finds too tells its recall on the corpus itself.
 """
 
 from __future__ import annotations
@@ -43,10 +44,6 @@ _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list((string.ascii_letters + string.digits + "+/_=-").encode())] = True
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(b"0123456789")] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[list(string.ascii_letters.encode())] = True
 
 
 def runs(inside: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +67,15 @@ def base_spans(data: bytes, raw: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def candidates(raw: np.ndarray, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) in bytes of the candidates."""
+    """(start, end) in bytes of the candidates that are no base spans; a rule of one character is none."""
     free = _TOKEN[raw]
     for start, _, end in taken:
         free[start:end] = False
     starts, ends = runs(free, LEAST)
     if not len(starts):
         return []
-    digits, letters = (np.concatenate([[0], np.cumsum(c[raw])]) for c in (_DIGIT, _LETTER))
-    keep = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
+    changes = np.concatenate([[0], np.cumsum(raw[1:] != raw[:-1])])
+    keep = changes[ends - 1] > changes[starts]
     return list(zip(starts[keep].tolist(), ends[keep].tolist(), strict=True))
 
 
@@ -126,14 +123,16 @@ class Network(NamedTuple):
         return 1 / (1 + np.exp(-(self.slope * logits + self.shift)))
 
 
-def labelled_findings(n: int = 6000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def labelled_findings(n: int = 12000, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """n windows, half around a secret; a seeded generator stands for a reviewed list of findings."""
     rng = random.Random(seed)
     pick = lambda alphabet, a, b: "".join(rng.choice(alphabet) for _ in range(rng.randint(a, b)))
     alnum, lower = string.ascii_letters + string.digits, string.ascii_lowercase
     word = lambda: pick(lower, 2, 9)
     prose = lambda: " ".join(word() for _ in range(rng.randint(2, 5)))
-    digit = str(rng.randint(0, 9))
+    # long words as languages make them: syllables of a consonant, a vowel and an ending
+    syllable = lambda: rng.choice(["", *"bcdfghlmnprstvw"]) + rng.choice(["a", "e", "i", "o", "u", "ou", "ea", "ie"]) + rng.choice(["", "", "n", "r", "s", "t", "l", "nd", "th", "ng", "st", "tion", "ment"])
+    spoken = lambda a, b: "".join(syllable() for _ in range(rng.randint(a, b)))
     secret = [
         lambda: pick(alnum, 20, 44),
         lambda: pick(alnum + "+/", 24, 60) + rng.choice(["", "=", "=="]),
@@ -143,6 +142,9 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> tuple[np.ndarray, np.ndar
         lambda: pick("ABCDEF0123456789", 24, 48),
         lambda: pick(string.ascii_uppercase + string.digits, 18, 32),
         lambda: pick(alnum + "_-", 16, 30),
+        lambda: pick(string.ascii_letters, 20, 40),
+        lambda: pick("0123456789abcdef", 32, 64),
+        lambda: f"{rng.choice(['token', 'password', 'secret', 'api_key'])}{rng.choice(['=', ' = ', ': '])}{rng.choice(['', chr(34)])}{pick(rng.choice([alnum, '0123456789abcdef']), 20, 48)}",
     ]
     benign = [
         lambda: str(uuid.UUID(int=rng.getrandbits(128))),
@@ -156,21 +158,31 @@ def labelled_findings(n: int = 6000, seed: int = 7) -> tuple[np.ndarray, np.ndar
         lambda: f"mail{rng.randint(0, 9)}-{word()}-{word()}",
         lambda: f"{word()}={rng.randint(1, 999)}-{word()}{word()}",
         lambda: f"v{rng.randint(0, 9)}-{rng.randint(0, 99)}-{word()}-release",
+        lambda: spoken(5, 9),
+        lambda: spoken(4, 8).capitalize(),
+        lambda: "".join(spoken(1, 3).capitalize() for _ in range(rng.randint(3, 5))),
+        lambda: f"{spoken(2, 4)}{rng.choice('-_/=')}{spoken(2, 4)}",
+        lambda: (spoken(3, 8) + spoken(3, 3))[: rng.randint(LEAST, 24)].upper(),
+        lambda: "".join(rng.choice(["re", "on", "an", "th", "er", "en", "st", "ing", "tion", "ment", "heit", "ung", "ado", "que", "lich"]) for _ in range(9))[: rng.randint(LEAST, 20)].upper(),
+        lambda: "".join(rng.choice(["re", "on", "an", "th", "er", "en", "st", "ing", "tion", "ment", "heit", "ung", "ado", "que", "sch"]) for _ in range(9))[: rng.randint(LEAST, 24)].upper(),
+        lambda: rng.choice(lower + string.ascii_uppercase + "-=_+/") * rng.randint(LEAST, 80),
+        lambda: rng.choice(lower + string.ascii_uppercase + string.digits) * rng.randint(INSIDE, 90),
+        lambda: pick(string.digits, LEAST, 20),
     ]
     key = ["key", "credential", "auth", "bearer", "access key", "private key", "pwd", "client id", "signature", "login"]
     rows, labels = [], []
     for i in range(n):
         good = i % 2 == 0
         value = rng.choice(secret if good else benign)()
-        raw = np.frombuffer(value.encode(), np.uint8)
-        if not (_DIGIT[raw].any() and _LETTER[raw].any()) or len(value) < LEAST:
-            value = (value + digit + "a" * LEAST)[: max(LEAST, len(value) + 2)]
+        while len(value) < LEAST:
+            value += pick(alnum, 4, 8) if good else spoken(2, 3)
         lead = f"{rng.choice(key)}{rng.choice([': ', '=', ' is ', ' '])}" if rng.random() < (0.5 if good else 0.15) else f"{prose()}{rng.choice([' ', '. ', ', '])}"
-        text = f"{prose()} {lead}".encode()
-        tail = f"{rng.choice([' ', ', ', '. ', chr(34)])}{prose()}".encode()
+        at_start, at_end = rng.random() < 0.1, rng.random() < 0.1
+        text = b"" if at_start else f"{prose()} {lead}".encode()
+        tail = b"" if at_end else f"{rng.choice([' ', ', ', '. ', chr(34)])}{prose()}".encode()
         start, end = len(text), len(text) + len(value.encode())
         if rng.random() < 0.25:  # at the end of a long run, as a later window sees it
-            text += "".join(f"{word()}{rng.choice('/-_=')}" for _ in range(rng.randint(10, 16))).encode()
+            text += (value[0] * rng.randint(30, 90) if len(set(value)) == 1 else "".join(f"{word()}{rng.choice('/-_=')}" for _ in range(rng.randint(10, 16)))).encode()
             end = len(text) + len(value.encode())
             start = max(start, end - INSIDE)
         rows.append(window(text + value.encode() + tail, start, end))
@@ -253,35 +265,59 @@ def _places(raw: np.ndarray, spans: list[tuple[int, int, int]]) -> list[tuple[in
     return [(int(points[a]), k, int(points[b])) for a, k, b in spans]
 
 
+class Scan(NamedTuple):
+    """spans: (start, kind, end) in code points, sorted; read: candidates scored; confirmed: base spans that the network finds too."""
+
+    spans: list[tuple[int, int, int]]
+    read: int
+    confirmed: int
+
+
 def scan_text(data: bytes, net: Network | None = None) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of one text, sorted, in code points."""
-    return scan_texts([data], net)[0]
-
-
-def scan_texts(texts: list[bytes], net: Network | None) -> list[list[tuple[int, int, int]]]:
-    found, rows, owners = [], [], []
-    for k, data in enumerate(texts):
-        raw = np.frombuffer(data, np.uint8)
-        base = base_spans(data, raw)
-        found.append(base)
-        if net is not None:
-            for a, b in candidates(raw, base):
-                owners.append((k, a, b, len(rows)))
-                rows += windows(data, a, b)
-    if rows:
-        best = np.maximum.reduceat(net.probability(np.stack(rows)), [first for *_, first in owners])
-        for (k, a, b, _), p in zip(owners, best, strict=True):
-            if p >= net.threshold:
+    """The spans of one text."""
+    return scan_texts([data], net)[0].spans
+
+
+def _scores(rows: list[np.ndarray], firsts: list[int], net: Network) -> np.ndarray:
+    return np.maximum.reduceat(net.probability(np.stack(rows)), firsts) if rows else np.zeros(0)
+
+
+def scan_texts(texts: list[bytes], net: Network | None, most_rows: int = 4096) -> list[Scan]:
+    """The scans of some texts; windows are scored about most_rows at a time, so that long texts need no more memory."""
+    found = [base_spans(data, np.frombuffer(data, np.uint8)) for data in texts]
+    read, confirmed = [0] * len(texts), [0] * len(texts)
+    rows: list[np.ndarray] = []
+    owners: list[tuple] = []
+
+    def score() -> None:
+        for (k, a, b, base, _), p in zip(owners, _scores(rows, [first for *_, first in owners], net), strict=True):
+            read[k] += 1
+            if p >= net.threshold and base:
+                confirmed[k] += 1
+            elif p >= net.threshold:
                 found[k].append((a, 3, b))
-    return [sorted(_places(np.frombuffer(data, np.uint8), spans)) for data, spans in zip(texts, found, strict=True)]
+        rows.clear()
+        owners.clear()
+
+    for k, data in enumerate(texts if net is not None else []):
+        base = list(found[k])
+        for a, b, known in [*((a, b, True) for a, _, b in base), *((a, b, False) for a, b in candidates(np.frombuffer(data, np.uint8), base))]:
+            owners.append((k, a, b, known, len(rows)))
+            rows += windows(data, a, b)
+            if len(rows) >= most_rows:
+                score()
+    score()
+    spans = [sorted(_places(np.frombuffer(data, np.uint8), x)) for data, x in zip(texts, found, strict=True)]
+    return [Scan(*x) for x in zip(spans, read, confirmed, strict=True)]
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
 def find_secrets(docs: DataFrame, net: Network | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep of docs, and spans: array of (kind, start, end) in code points of the whole text, by start and kind.
+    """The columns keep of docs, spans: array of (kind, start, end) in code points of the whole text, by start and kind, n_read and n_confirmed.
 
+    n_read counts the candidates that the network scored, base spans among them; n_confirmed the base spans that it finds too.
     net is trained from the labelled findings where none is given. A null or empty text has no spans. Null ids and
     repeated rows stay, a result each. Other columns are ignored; an empty table gives an empty one.
     """
@@ -292,11 +328,13 @@ def find_secrets(docs: DataFrame, net: Network | None = None, keep: tuple[str, .
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             texts = [t.encode() if t else b"" for t in batch.column(len(keep)).to_pylist()]
-            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x] for x in scan_texts(texts, net)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(spans, _SPANS)], names=[*keep, "spans"])
+            scans = scan_texts(texts, net)
+            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in x.spans] for x in scans]
+            counts = [pa.array([x.read for x in scans], pa.int64()), pa.array([x.confirmed for x in scans], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(spans, _SPANS), *counts], names=[*keep, "spans", "n_read", "n_confirmed"])
 
     text = F.col("text").alias("_scanned")
-    return docs.select(*keep, text).mapInArrow(run, f"{schema}, spans array<struct<kind: string, start: long, end: long>>")
+    return docs.select(*keep, text).mapInArrow(run, f"{schema}, spans array<struct<kind: string, start: long, end: long>>, n_read long, n_confirmed long")
 
 
 def redact_secrets(docs: DataFrame, net: Network | None = None, mask: str = "[SECRET]") -> DataFrame:
@@ -309,7 +347,8 @@ def redact_secrets(docs: DataFrame, net: Network | None = None, mask: str = "[SE
         for batch in rows:
             texts = batch.column(n).to_pylist()
             out = []
-            for text, spans in zip(texts, scan_texts([t.encode() if t else b"" for t in texts], net), strict=True):
+            for text, scan in zip(texts, scan_texts([t.encode() if t else b"" for t in texts], net), strict=True):
+                spans = scan.spans
                 if spans:
                     parts, at, edge = [], 0, -1
                     for a, _, b in spans:
@@ -334,4 +373,4 @@ def op6_secrets(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"] != "model")
     of_kind = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [of_kind(k) for k in KINDS[:3]]
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), of_kind(KINDS[3]))
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), of_kind(KINDS[3]), "n_read", "n_confirmed")

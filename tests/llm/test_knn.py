@@ -9,16 +9,12 @@ from lockstep.llm.knn import group_bounds, op1_knn, products, search
 
 def brute(rows, asks, k):
     """All pairs in plain Python."""
-    fine = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            fine[i, tuple(math.floor(64 * x) for x in v)] = None
+    fine = [(i, tuple(math.floor(64 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, v in rows:
-        key = (i, tuple(math.floor(64 * x) for x in v)) if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) else None
-        if key is None or not asks(i):
+    for row, (i, v) in enumerate(fine):
+        if not asks(i):
             continue
-        scored = sorted((-sum(a * b for a, b in zip(key[1], w, strict=False)), j) for j, w in fine if (j, w) != key)
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for other, (j, w) in enumerate(fine) if other != row)
         out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scored[:k])]
     return sorted(out)
 
@@ -77,3 +73,15 @@ def test_query(spark, sf_dir):
     rows = [(r.vec_id, [float(x) for x in r.embedding] if r.embedding is not None else None) for r in table]
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op1_knn(spark, sf_dir).collect())
     assert got == brute(rows, lambda i: i % 20 == 0, 20)
+
+
+def test_repeated_rows_are_candidates_each(spark):
+    same = [1.0, 2.0]
+    rows = [(1, [1.0, 1.0]), (2, same), (2, same), (3, [0.5, 0.5]), (20, same), (20, same), (40, [-1.0, 0.0])]
+    got = search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.pmod("vec_id", F.lit(20)) == 0, k=5, block_rows=2)
+    hits = {}
+    for r in got.orderBy("query_id", "rank").collect():
+        hits.setdefault((r.query_id, r["rank"]), []).append(r.vec_id)
+    # each of the two rows of 20 sees the other, both rows of 2, and all else
+    assert [hits[20, n] for n in (1, 2, 3, 4, 5)] == [[2, 2], [2, 2], [20, 20], [1, 1], [3, 3]]
+    assert [hits[40, n] for n in (1, 2, 3, 4, 5)] == [[3], [1], [2], [2], [20]]

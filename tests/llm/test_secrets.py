@@ -74,6 +74,32 @@ def test_query(spark, sf_dir):
         assert ",".join(s for s in r.spans.split(",") if not s.startswith("model")) == said
 
 
+def test_the_network_reads_every_candidate_of_the_corpus(spark):
+    """On sf0.01: all base spans and runs of token characters are scored; tokens in hex are found by the network too, words are left alone."""
+    rows = op6_secrets(spark, "/root/testdata/sf0.01").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    read = sum(r.n_read for r in rows)
+    assert read > 3000 and all(r.n_read >= r.n_assign + r.n_access + r.n_hex - 1 for r in rows)
+    tokens = sum(len(re.findall(r"token = ", texts[r.doc_id])) for r in rows)
+    assert tokens and sum(r.n_confirmed for r in rows) >= 0.9 * tokens
+    assert sum(r.n_model for r in rows) <= 0.02 * read
+
+
+def test_recall_on_findings_planted_into_corpus_texts(spark, sf_dir):
+    """Keys of forms that no base pattern knows, in the middle of documents: at least 0.9 are found."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    hits = []
+    for text in texts:
+        key = rng.choice(["", "ghp_", "sk_live_"]) + "".join(rng.choice(alphabet, 32))
+        at = text.find(" ", len(text) // 2)
+        if at >= 0:
+            planted = f"{text[:at]} {key}{text[at:]}"
+            hits.append(any(k == 3 and planted[a:b] == key for a, k, b in scan_text(planted.encode(), default_network())))
+    assert len(hits) > 150 and np.mean(hits) >= 0.9
+
+
 def test_training_repeats():
     assert np.array_equal(labelled_findings(50)[0], labelled_findings(50)[0])
 
