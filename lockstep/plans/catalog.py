@@ -327,10 +327,10 @@ for _name, (_sql, _group) in _SHAPES.items():
     _shape(_name, _sql, _group)
 
 
-@query("duplicate_groups", "select md5(html) as head, count(*) as n, list_sort(list(page_id)) as ids from pages group by 1 having count(*) > 1")
+@query("duplicate_groups", "select md5(text) as head, count(*) as n, list_sort(list(doc_id)) as ids from documents group by 1 having count(*) > 1")
 def duplicate_groups(s, d):
-    rows = roles.table(s, d, "pages").groupBy(F.md5(F.col("html").cast("binary")).alias("head"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("page_id")).alias("ids")).where("n > 1")
+    rows = roles.table(s, d, "documents").groupBy(F.md5(F.col("text").cast("binary")).alias("head"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids")).where("n > 1")
 
 
 @query("measure_catalog")

@@ -225,3 +225,32 @@ def reached_commits(s, d):
     tips = rows.where("last and c_acctbal > 9000").select("repo", sha(F.col("k")).alias("sha"))
     found = reached(tips, ancestry(parents))
     return found.groupBy("repo").agg(F.count(F.lit(1)).alias("reached"), F.sum(F.col("sha").cast("long")).alias("keys"))
+
+
+@query("calls_admitted", """with x as (select surface, length(name || client || round(duration_ms)::bigint::varchar) > 9 as over from (
+  select case when event_type in ('view', 'click') then 'http' else 'mcp' end as surface, event_type as name, user_id::varchar as client, value as duration_ms from events))
+select surface, count(*) filter (not over) as kept, (select count(*) from x) as seen, (select count(*) from x where over) as dropped from x group by 1""")
+def calls_admitted(s, d):
+    """The call log with calls above a size refused: what is stored by surface, and the counts of the batches' admission."""
+    from ..streaming.calls import append_bounded, read_calls
+
+    out = _folder(s, "calls")
+    size = F.length(F.concat("name", "client", F.round("duration_ms").cast("long").cast("string")))
+    append_bounded(read_calls(s, d), out, _folder(s, "calls-state"), size, 9).awaitTermination()
+    told = s.read.parquet(f"{out}-admission").agg(F.sum("seen").alias("seen"), F.sum("dropped").alias("dropped")).first()
+    kept = s.read.parquet(out).groupBy("surface").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.withColumns({name: F.lit(told[name]) for name in ("seen", "dropped")})
+
+
+# --- stored indexes -------------------------------------------------------------------------------------------------------
+
+
+@query("search_by_trigrams", """select p_partkey as file_id, p_type || '/' || p_brand || '/' || p_name as path from part where contains(lower(p_type || '/' || p_brand || '/' || p_name), '/brand#12/')
+union all select p_partkey, p_type || '/' || p_brand || '/' || p_name from part where contains(lower(p_type || '/' || p_brand || '/' || p_name), '7')""")
+def search_by_trigrams(s, d):
+    """Paths that hold a directory, by its trigrams, and paths that hold a digit, which has none."""
+    from ..operators import trigrams
+
+    paths, folder = roles.paths(s, d), _folder(s, "trigrams")
+    trigrams.write_index(paths, folder)
+    return trigrams.search(paths, folder, "/Brand#12/").unionByName(trigrams.search(paths, folder, "7")).select("file_id", "path")

@@ -98,10 +98,10 @@ def classify_reference(s, d):
     return _parts(s, d, VERSION).select("id", kind.alias("kind"), sha.alias("sha"))
 
 
-@query("version_ordinal", _UNQUOTED + f", k as (select id, {_KEY.replace('{t}', 't')} as k from texts) select id, k as version_key, case when not contains(k, '-') then list_transform(string_split(k, '.'), lambda x: x::decimal(20, 0)) end as ordinal from k where k is not null")
+@query("version_ordinal", _UNQUOTED + f", k as (select id, {_KEY.replace('{t}', 't')} as k from texts) select id, k as version_key, case when not contains(k, '-') then array_to_string(list_transform(string_split(k, '.'), lambda x: x::decimal(20, 0)::varchar), '.') end as ordinal from k where k is not null")
 def version_ordinal(s, d):
     rows = _parts(s, d, VERSION).select("id", text.version_key(F.col("raw")).alias("version_key")).where("version_key is not null")
-    return rows.withColumn("ordinal", text.ordinal(F.col("version_key")))
+    return rows.withColumn("ordinal", F.array_join(F.transform(text.ordinal(F.col("version_key")), lambda x: x.cast("string")), "."))
 
 
 def _cut(name: str) -> str:

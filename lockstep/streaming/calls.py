@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.roles import of_events
@@ -32,3 +32,22 @@ def append(calls: DataFrame, path: str, checkpoint: str):
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
 
     return calls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_bounded(calls: DataFrame, path: str, checkpoint: str, size: Column, most: int):
+    """As append(), of the calls whose size is at most `most`; what is dropped is counted by batch in the table path-admission.
+
+    The counts are observed metrics of the very write that stores a batch, so that they cost no second reading of it: (batch, seen,
+    dropped). A null size counts as 0. Batches that are tried again replace their counts too.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        told = Observation(f"admission-{batch_id}")
+        over = F.coalesce(size, F.lit(0)) > most
+        rows = batch.observe(told, F.count(F.lit(1)).alias("seen"), F.count_if(over).alias("dropped")).where(~over)
+        rows = rows.withColumns({"batch": F.lit(batch_id), "day": F.to_date("at")})
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(path)
+        counts = batch.sparkSession.createDataFrame([(told.get["seen"], told.get["dropped"], batch_id)], "seen long, dropped long, batch long")
+        counts.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}-admission")
+
+    return calls.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
