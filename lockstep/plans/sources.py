@@ -254,3 +254,28 @@ def search_by_trigrams(s, d):
     paths, folder = roles.paths(s, d), _folder(s, "trigrams")
     trigrams.write_index(paths, folder)
     return trigrams.search(paths, folder, "/Brand#12/").unionByName(trigrams.search(paths, folder, "7")).select("file_id", "path")
+
+
+# --- stages with stored state ---------------------------------------------------------------------------------------------
+
+
+@query("staged_rebuild", """with commits as (
+  select c_mktsegment as repo, o_orderkey as commit_id from orders join customer on o_custkey = c_custkey join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey
+  where o_orderstatus <> 'P' and n <= 60 and not (c_mktsegment = 'BUILDING' and o_orderdate >= timestamp '2000-01-01')),
+items as (select distinct repo, commit_id, l_suppkey as f from commits join lineitem on l_orderkey = commit_id),
+pairs as (select x.repo, x.f as a, y.f as b, count(*) as n_ab from items x join items y on x.commit_id = y.commit_id and x.f < y.f group by 1, 2, 3 having count(*) >= 2)
+select repo, count(*) as pairs, sum(n_ab)::bigint as support, 5 as first, 0 as again, case when repo = 'BUILDING' then 1 else 0 end as third from pairs group by 1""")
+def staged_rebuild(s, d):
+    """Pairs and their sums as stages: all repositories, then nothing, then the one whose baskets of two years went."""
+    from ..operators import coupling as c
+    from ..sinks.stages import Stage, run_stages
+
+    pairs = Stage("pairs", ("baskets",), lambda inputs, repos: c.pair_counts(inputs["baskets"].join(repos, "repo", "left_semi")))
+    sums = Stage("sums", ("pairs",), lambda inputs, repos: inputs["pairs"].join(repos, "repo", "left_semi").groupBy("repo").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n_ab").alias("support")))
+    rows, folder = c.baskets(roles.changes(s, d), roles.commits(s, d)), _folder(s, "stages")
+    first = run_stages(s, folder, [pairs, sums], {"baskets": rows})
+    again = run_stages(s, folder, [pairs, sums], {"baskets": rows})
+    less = rows.where(~((F.col("repo") == "BUILDING") & (F.col("committed_at") >= F.lit("2000-01-01").cast("timestamp"))))
+    third = run_stages(s, folder, [pairs, sums], {"baskets": less})
+    told = F.when(F.col("repo") == "BUILDING", F.lit(third["sums"])).otherwise(0)
+    return s.read.parquet(f"{folder}/sums").select("repo", "pairs", "support", F.lit(first["sums"]).alias("first"), F.lit(again["pairs"] + again["sums"]).alias("again"), told.alias("third"))
