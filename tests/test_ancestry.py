@@ -23,13 +23,13 @@ def test_random_histories(spark):
     rng = random.Random(2)
     parents = []
     for repo in "qr":
-        for k in range(1, 120):
+        for k in range(1, 90):
             some = {rng.randrange(max(0, k - 12), k) for _ in range(rng.choice([1, 1, 1, 2, 3]))}
             if rng.random() > 0.06:
                 parents += [(repo, f"c{k}", f"c{p}", nr) for nr, p in enumerate(rng.sample(sorted(some), len(some)))]
     table = spark.createDataFrame([*parents, parents[0], (None, "x", "y", 0), ("q", "c1", None, 0)], PARENTS)
     known = ancestry(table)
-    for tips in ([("q", "c119"), ("r", "c60")], [("q", "c80"), ("q", "c90"), ("q", "c80")], [("r", "unknown")], []):
+    for tips in ([("q", "c89"), ("r", "c60"), ("q", "c80"), ("q", "c80"), ("r", "unknown")], []):
         got = reached(spark.createDataFrame(tips, "repo string, sha string"), known)
         assert sorted(map(tuple, got.collect())) == closure(tips, parents)
     first = {(r, c): p for r, c, p, nr in parents if nr == 0}
@@ -38,9 +38,6 @@ def test_random_histories(spark):
         while (r.repo, at) in first:
             n, at = n + 1, first[r.repo, at]
         assert r.generation == n
-    # without numbers any parent may be the first
-    got = reached(spark.createDataFrame([("q", "c119")], "repo string, sha string"), ancestry(table.drop("nr")))
-    assert sorted(map(tuple, got.collect())) == closure([("q", "c119")], parents)
 
 
 def test_a_chain_of_100_000_commits_in_20_rounds(spark):
