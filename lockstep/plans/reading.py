@@ -17,7 +17,7 @@ from ..operators import mining as m
 from ..operators import reading as r
 from ..schemas import CLUSTER_MIN_SUPPORT
 from ..sinks import tables as sink
-from ..sources import manifests, roles
+from ..sources import roles
 from ..sources.roles import AS_OF, EVENTS_AS_OF
 from .catalog import _CALLS, _DRIFT, _EDGES, _EVERY, _FORMULAS, _RISK, BASE, _drift, _edges, _history, _metrics, _pairs, _risk
 from .registry import query
@@ -31,9 +31,13 @@ FILE = """case {k} % 10 when 0 then 'src/m' || cast({k} % 4 as string) || '/core
 KINDS = """case p_partkey % 16 when 0 then 'vendor/' || p_type || '/a.go' when 1 then 'x/node_modules/b.js' when 2 then p_type || '/go.sum' when 3 then 'a/api.pb.go' when 4 then 'dist.go'
  when 5 then 'CHANGES.txt' when 6 then 'src/.changeset/x.md' when 7 then '.releaserc.json' when 8 then 'docs/' || p_type || '.html' when 9 then 'doc/a' when 10 then 'README' when 11 then 'a/Jenkinsfile'
  when 12 then 'go.work' when 13 then 'lib/x.min.css' when 14 then 'my' || 'Readme.rst' else 'src/' || p_type || '/' || replace(p_name, ' ', '/') || '.go' end"""
-_LISTED = "(" + ", ".join(f"'{x}'" for x in (*manifests.MANIFEST_FILES, *manifests.LOCK_FILES, *j.WORKSPACE_FILES)) + ")"
-_NOISE = f"(regexp_replace({{p}}, '^.*/', '') in {_LISTED} or regexp_matches({{p}}, '{j.GENERATED_TREES}') or regexp_matches({{p}}, '{j.RELEASE_FILES}'))"
-_AUX = f"({_NOISE} or regexp_matches({{p}}, '{j.AUXILIARY}'))"
+# The SQL has its own words for what the functions under test know: the listed names that occur in the paths above, and the patterns.
+_LISTED = "('go.sum', 'go.work', 'package.json')"
+_TREES = r"(^|/)(vendor|node_modules|third_party|dist|generated|gen|__pycache__)/|(_gen|\.pb|_auto_test)\.go$|\.min\.(js|css)$"
+_RELEASES = r"(^|/)(CHANGELOG|CHANGES|HISTORY|VERSION|version)(\.(md|txt))?$|(^|/)\.releaserc\.json$|(^|/)\.changeset/"
+_DOCUMENTS = r"(^|/)docs?/|(^|/)README(\.[a-z]+)?$|\.(md|mdx|rst)$|(^|/)\.github/|(^|/)Jenkinsfile$"
+_NOISE = f"(regexp_replace({{p}}, '^.*/', '') in {_LISTED} or regexp_matches({{p}}, '{_TREES}') or regexp_matches({{p}}, '{_RELEASES}'))"
+_AUX = f"({_NOISE} or regexp_matches({{p}}, '{_DOCUMENTS}'))"
 _FILES = f"files as (select s_suppkey as file_id, {FILE.format(k='s_suppkey')} as path from supplier)"
 
 
@@ -62,7 +66,7 @@ def hotspots_ranked(s, d):
 _LABELLED = BASE + f""", {_FILES}, x as (select repo, a, b, n_ab, last_at, n_ab::double / n_a as conf, {_FORMULAS['npmi']} as npmi, {_FORMULAS['jaccard']} as jac, {_FORMULAS['log_likelihood_ratio']} as g2, fa.path as own, fb.path as path
  from cells join (select repo, a, b, last_at from pairs) using (repo, a, b) join files fa on fa.file_id = a join files fb on fb.file_id = b),
 y as (select *, regexp_replace(path, '^.*/', '') as base, regexp_replace(own, '^.*/', '') as own_base, regexp_replace(regexp_replace(own, '^.*/', ''), '\\.[^.]*$', '') as stem from x),
-z as (select *, base in {j.GENERATED_LOCKS} or list_has_any(string_split(lower(regexp_replace(path, '[^/]*$', '')), '/'), {list(j.GENERATED_FOLDERS)}) or {" or ".join(f"contains(lower(base), '{p}')" for p in j.GENERATED_PARTS)} or starts_with(lower(base), 'mock_') or starts_with(lower(base), 'mocks_') as generated,
+z as (select *, base in ('go.sum', 'package-lock.json', 'yarn.lock') or list_has_any(string_split(lower(regexp_replace(path, '[^/]*$', '')), '/'), ['gen', 'generated', 'vendor', 'node_modules', 'mocks', '.gen', 'dist', '__generated__']) or contains(lower(base), 'zz_generated') or contains(lower(base), '.pb.go') or contains(lower(base), '.min.js') or contains(lower(base), '.generated.') or starts_with(lower(base), 'mock_') or starts_with(lower(base), 'mocks_') as generated,
  starts_with(base, stem || '_test.') or starts_with(base, 'test_' || stem || '.') or starts_with(base, stem || '.test.') or starts_with(base, stem || '.spec.') as own_test,
  base = own_base and regexp_replace(path, '/[^/]*$', '') <> regexp_replace(own, '/[^/]*$', '') as sibling from y),
 l as (select *, list_filter([case when generated then 'generated' end, case when own_test then 'own_test' end, case when n_ab < 5 then 'thin_support' end, case when sibling then 'sibling_variant' end], lambda v: v is not null) as labels,
