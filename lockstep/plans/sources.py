@@ -279,3 +279,25 @@ def staged_rebuild(s, d):
     third = run_stages(s, folder, [pairs, sums], {"baskets": less})
     told = F.when(F.col("repo") == "BUILDING", F.lit(third["sums"])).otherwise(0)
     return s.read.parquet(f"{folder}/sums").select("repo", "pairs", "support", F.lit(first["sums"]).alias("first"), F.lit(again["pairs"] + again["sums"]).alias("again"), told.alias("third"))
+
+
+# --- identity through renames ---------------------------------------------------------------------------------------------
+
+
+@query("file_identities", """with recursive c as (
+  select distinct c_mktsegment as repo, l_orderkey * 10000000 + l_partkey * 100 + l_suppkey % 100 as nr, 'p' || l_partkey as path, case when l_suppkey % 5 = 0 then 'p' || ((l_partkey * 7 + l_suppkey % 100) % 1999) end as old
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey),
+f as (select repo, path, min(nr) as nr, arg_min_null(old, nr) as old from c group by 1, 2),
+up as (select f.repo, f.path, o.path as older from f join f o on o.repo = f.repo and o.path = f.old where f.old <> f.path and o.nr < f.nr),
+chain as (select repo, path, path as file from f where not exists (select 1 from up where up.repo = f.repo and up.path = f.path) union all select up.repo, up.path, chain.file from up join chain on chain.repo = up.repo and chain.path = up.older)
+select c.repo, file, count(*) as changes, count(distinct c.path) as paths from c join chain using (repo, path) group by 1, 2""")
+def file_identities(s, d):
+    """Lines as changes of parts, those of every fifth supplier as renames from another part: changes and paths of each file."""
+    from ..sinks.tables import file_identity
+
+    lines = roles.table(s, d, "lineitem").join(roles.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(roles.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    old = F.expr("case when l_suppkey % 5 = 0 then concat('p', (l_partkey * 7 + l_suppkey % 100) % 1999) end")
+    nr = F.expr("l_orderkey * 10000000 + l_partkey * 100 + l_suppkey % 100")
+    rows = lines.select(F.col("c_mktsegment").alias("repo"), nr.alias("nr"), F.concat(F.lit("p"), "l_partkey").alias("path"), old.alias("old_path")).distinct()
+    found = file_identity(rows)
+    return found.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("path").alias("paths"))

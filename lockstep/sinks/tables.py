@@ -6,15 +6,13 @@ retried job gives the same table; loads skip what is stored by key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalised, version_key
 from ..operators.ancestry import ancestry, reached
 from ..operators.coupling import as_of_epoch, epoch
+from .steps import discard, step
 
 
 def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -124,35 +122,27 @@ def replays(commits: DataFrame, branch: DataFrame) -> DataFrame:
     return on.join(known, ["repo", "patch_id"], "left").withColumn("is_replay", F.col("_on").isNull() & F.col("_known").isNotNull()).drop("_on", "_known")
 
 
-_RESOLVED = "repo string, nr long, path string, old_path string, file string"
-
-
-def _walk(rows: pd.DataFrame) -> pd.DataFrame:
-    """One repository's changes, oldest first: which file each is of. A file is named by the first path it had."""
-    at: dict[str, str] = {}
-    out = []
-    for path, old in zip(rows["path"], rows["old_path"], strict=True):
-        if isinstance(old, str) and old in at:
-            held = at.get(path)
-            file = at[path] = at[old] if held is None or held == at[old] else held
-        else:
-            file = at.setdefault(path, path)
-        out.append(file)
-    return rows[["repo", "nr", "path", "old_path"]].assign(file=out)
-
-
 def file_identity(changes: DataFrame) -> DataFrame:
     """(repo, nr, path, old_path, file) of changes (repo, nr, path, old_path): files keep their identity through renames.
 
-    Order matters, so a repository's changes that can touch renames go through one task in the order of nr: those of paths
-    that were ever renamed. All others are files of their own path and never leave Spark's own operators. A rename
-    onto a path that another file holds is a change of that file; the two are not merged.
+    A file is named by the first path it had. Which file a path is of is settled by the first change of the path, by nr: that of
+    the old path where this is a rename from a path that was changed before, else a file of its own. So paths point to older
+    paths, and a file is the end of such a chain, found by doubling the pointers. A rename onto a path that another file holds is
+    a change of that file; the two are not merged.
     """
-    moved = changes.where("old_path is not null")
-    touched = moved.select("repo", "path").unionByName(moved.select("repo", F.col("old_path").alias("path"))).distinct()
     rows = changes.select("repo", "nr", "path", "old_path")
-    ordered = rows.join(touched, ["repo", "path"], "left_semi").groupBy("repo").applyInPandas(lambda x: _walk(x.sort_values("nr")), _RESOLVED)
-    return rows.join(touched, ["repo", "path"], "left_anti").withColumn("file", F.col("path")).unionByName(ordered)
+    first = rows.groupBy("repo", "path").agg(F.min("nr").alias("_nr"), F.min_by(F.struct("old_path"), "nr").alias("_from"))
+    first = step(first.select("repo", "path", "_nr", F.col("_from.old_path").alias("_old")), "paths")
+    older = first.select("repo", F.col("path").alias("_old"), F.col("_nr").alias("_before"))
+    links = step(first.where("_old <> path").join(older, ["repo", "_old"]).where("_before < _nr").select("repo", "path", F.col("_old").alias("file")), "links")
+    while True:
+        further = links.select("repo", F.col("path").alias("file"), F.col("file").alias("_further"))
+        longer = step(links.join(further, ["repo", "file"], "left").select("repo", "path", F.coalesce("_further", "file").alias("file"), F.col("_further").isNotNull().alias("_moved")), "links")
+        discard(links)
+        links = longer.select("repo", "path", "file")
+        if longer.where("_moved").isEmpty():
+            break
+    return rows.join(links, ["repo", "path"], "left").withColumn("file", F.coalesce("file", "path"))
 
 
 def aliases(resolved: DataFrame) -> DataFrame:
@@ -207,9 +197,3 @@ def feedback_summary(rows: DataFrame) -> DataFrame:
     """Totals by severity: all, open, and closed (fixed or not to be fixed)."""
     closed = F.col("status").isin("fixed", "wontfix")
     return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "open").alias("open"), F.count_if(closed).alias("closed"))
-
-
-def chunks(df: DataFrame, n: int) -> Iterator[DataFrame]:
-    """df in n parts by a hash of its first column, for backfills that are to be stored part by part."""
-    for k in range(n):
-        yield df.where(F.pmod(F.xxhash64(df.columns[0]), F.lit(n)) == k)
