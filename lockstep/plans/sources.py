@@ -129,18 +129,29 @@ def log_stream(s, d):
     return seen.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("sha").alias("shas"), F.count_if(F.col("batch") == 0).alias("first_trigger"))
 
 
+def _move(s: SparkSession, of: str, to: str, segment: int) -> None:
+    """Moves a segment of all repositories from one log to another, as a fetch does that puts finished files into place."""
+    path = s._jvm.org.apache.hadoop.fs.Path
+    store = path(to).getFileSystem(s._jsc.hadoopConfiguration())
+    store.mkdirs(path(to))
+    for found in store.globStatus(path(f"{of}/repo=*/segment={segment}*")):
+        folder = path(f"{to}/{found.getPath().getParent().getName()}")
+        store.mkdirs(folder)
+        if not store.rename(found.getPath(), path(folder, found.getPath().getName())):
+            raise OSError(f"can't move {found.getPath()}")
+
+
 def read_log_batches(s: SparkSession, d: str, folder: str, out: str, check: str) -> DataFrame:
     late = F.when(F.col("o_orderdate") < F.lit("1998-07-01").cast("timestamp_ntz"), 1).otherwise(2)
     both = _folder(s, "log-both")
     log_of_orders(s, d, both, late)
-    lines = s.read.option("lineSep", "\x00").option("wholetext", "false").schema("value string, repo string, segment int")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("batch", F.lit(batch_id))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
     for segment in (1, 2):
-        lines.text(both).where(F.col("segment") == segment).write.mode("append").partitionBy("repo", "segment").option("lineSep", "\x00").text(folder)
+        _move(s, both, folder, segment)
         run = read_log(s, folder, stream=True, merges="true").select("repo", "sha").writeStream.foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
         run.awaitTermination()
     return s.read.parquet(out)

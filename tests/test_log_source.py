@@ -111,3 +111,17 @@ def test_two_triggers_give_each_commit_once(spark, tmp_path):
     (logs / "s2").write_text(record("d"))
     assert trigger() == ["a", "b", "c", "d"]
     assert trigger() == ["a", "b", "c", "d"]
+
+
+def test_segments_are_moved_into_the_log_of_the_stream(spark, sf_dir, tmp_path):
+    import os
+
+    from lockstep.plans import sources
+
+    folder, out = str(tmp_path / "log"), str(tmp_path / "out")
+    before = set(os.listdir(sources.shared_dir(spark)))
+    seen = sources.read_log_batches(spark, sf_dir, folder, out, str(tmp_path / "check"))
+    assert seen.count() == seen.select("sha").distinct().count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    left = [name for name in set(os.listdir(sources.shared_dir(spark))) - before if name.startswith("log-both")]
+    copies = [f"{d}/{f}" for name in left for d, _, found in os.walk(f"{sources.shared_dir(spark)}/{name}") for f in found if f.startswith("part-")]
+    assert len(left) == 1 and copies == []
