@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sinks.steps import shared_dir
+from ..sinks.steps import release, shared_dir
 from ..sources import manifests, roles
 from ..sources.log_source import read_log, write_log
 from .registry import query
@@ -59,37 +60,63 @@ def lock_entries(s, d):
 # --- commit logs ----------------------------------------------------------------------------------------------------------
 
 
+#: Lines that are exported at once: what an export shuffles doesn't grow with the tables then.
+LINES = 10_000_000
+
+
 def log_of_orders(s: SparkSession, d: str, folder: str, segment=None, mode: str = "error") -> None:
     """Writes every order as a commit of its customer's segment of the market, every line as a change.
 
-    An urgent order is a merge; a line that was returned is a rename, its similarity by the part's number.
+    An urgent order is a merge; a line that was returned is a rename, its similarity by the part's number. Orders come in turns,
+    by ranges of their keys, each a segment of its own; a turn's orders and lines are shuffled once, together and as numbers.
     """
-    orders = roles.table(s, d, "orders").join(roles.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("repo")), "o_custkey")
-    path = F.concat(F.lit("p"), F.col("l_partkey"), F.lit("/s"), F.col("l_suppkey"), F.lit("/l"), F.col("l_linenumber"), F.lit("-"), F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(".go"))
-    returned = F.col("l_returnflag") == "R"
-    status = F.when(returned, F.concat(F.lit("R0"), (F.lit(40) + F.pmod("l_partkey", F.lit(60))).cast("string"))).otherwise("M")
-    paths = F.when(returned, F.array(F.concat(F.lit("old/"), path), path)).otherwise(F.array(path))
-    raw = F.concat(F.array(F.concat(F.lit(":100644 100644 a b "), status)), paths)
-    counts = F.concat_ws("\t", F.col("l_quantity").cast("long"), F.col("l_linenumber"))
-    numstat = F.when(returned, F.concat(F.array(F.concat(counts, F.lit("\t"))), paths)).otherwise(F.array(F.concat(counts, F.lit("\t"), path)))
-    lines = roles.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", raw.alias("raw"), numstat.alias("numstat"))
-    lines = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "raw", "numstat"))).alias("lines"))
-    items = F.flatten(F.concat(F.transform("lines", lambda x: x["raw"]), F.transform("lines", lambda x: x["numstat"])))
+    turns = max(1, -(-roles.table(s, d, "lineitem").count() // LINES))
+    edges = roles.table(s, d, "orders").approxQuantile("o_orderkey", [k / turns for k in range(1, turns)], 0.1 / turns) if turns > 1 else []
+    for turn, (low, high) in enumerate(zip([None, *map(int, edges)], [*map(int, edges), None], strict=True)):
+        name = F.concat((F.lit(1) if segment is None else segment).cast("string"), F.lit(f"-{turn:06}"))
+        inside = lambda key, low=low, high=high: key.isNotNull() & (F.lit(True) if low is None else key >= low) & (F.lit(True) if high is None else key < high)
+        rows = _commits_of_orders(s, d, name, inside)
+        write_log(rows, folder, mode if turn == 0 else "append", ranged=True)
+        release(s)
+
+
+def _commits_of_orders(s: SparkSession, d: str, segment: Column, inside: Callable[[Column], Column]) -> DataFrame:
+    """(repo, segment, nr, head, items) of the orders whose keys are inside, in ranges of nr."""
+    customer = roles.table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("repo"))
+    orders = roles.table(s, d, "orders").where(inside(F.col("o_orderkey"))).join(customer, "o_custkey")
+    order = F.struct("repo", segment.alias("segment"), "o_orderdate", "o_custkey", (F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("quantity"), (F.col("l_returnflag") == "R").alias("returned"))
+    lines = roles.table(s, d, "lineitem").where(inside(F.col("l_orderkey"))).select(F.col("l_orderkey").alias("nr"), line.alias("line"))
+    rows = orders.select(F.col("o_orderkey").alias("nr"), order.alias("order")).unionByName(lines, allowMissingColumns=True).repartitionByRange("nr")
+
+    path = F.concat(F.lit("p"), F.col("line.l_partkey"), F.lit("/s"), F.col("line.l_suppkey"), F.lit("/l"), F.col("line.l_linenumber"), F.lit("-"), F.col("line.cents"), F.lit(".go"))
+    returned = F.col("line.returned")
+    status = F.when(returned, F.concat(F.lit("R0"), (F.lit(40) + F.pmod("line.l_partkey", F.lit(60))).cast("string"))).otherwise("M")
+    raw = F.concat_ws("\x00", F.concat(F.lit(":100644 100644 a b "), status), F.when(returned, F.concat(F.lit("old/"), path)), path)
+    counts = F.concat_ws("\t", F.col("line.quantity"), F.col("line.l_linenumber"), F.lit(""))
+    numstat = F.when(returned, F.concat_ws("\x00", counts, F.concat(F.lit("old/"), path), path)).otherwise(F.concat(counts, path))
+    rows = rows.select("nr", "order", F.when(F.col("line").isNotNull(), F.struct("line.l_linenumber", raw.alias("raw"), numstat.alias("numstat"))).alias("line"))
+    rows = rows.groupBy("nr").agg(F.collect_list("order").alias("orders"), F.sort_array(F.collect_list("line")).alias("lines")).select("nr", F.inline("orders"), F.concat("lines.raw", "lines.numstat").alias("items"))
     sha = lambda key: F.md5(key.cast("string"))
-    key = F.col("o_orderkey")
-    parents = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat_ws(" ", sha(key - 1), sha(key - 2))).otherwise(sha(key - 1))
+    key = F.col("nr")
+    parents = F.when(F.col("urgent"), F.concat_ws(" ", sha(key - 1), sha(key - 2))).otherwise(sha(key - 1))
     at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     who = F.concat(F.lit("c"), F.col("o_custkey"))
     mail = F.concat(who, F.lit("@x.org"))
     head = F.array(sha(key), parents, who, mail, at, who, mail, at, F.concat(F.lit("order "), key), F.lit("body"))
-    rows = orders.join(lines, "o_orderkey", "left").select("repo", (F.lit(1) if segment is None else segment).alias("segment"), key.alias("nr"), head.alias("head"), F.coalesce(items, F.array().cast("array<string>")).alias("items"))
-    write_log(rows, folder, mode)
+    return rows.select("repo", "segment", "nr", head.alias("head"), "items")
 
 
 def _folder(s: SparkSession, tag: str) -> str:
     return f"{shared_dir(s)}/{tag}-{uuid.uuid4().hex}"
 
 
+def _short(sha: str) -> Column:
+    """Hexadecimal digits as bytes, half as many for the shuffle of distinct ones; the first byte tells them from other texts."""
+    digits = F.unhex(sha)
+    return F.when(F.lower(F.hex(digits)) == F.col(sha), F.concat(F.lit(b"h"), digits)).otherwise(F.concat(F.lit(b"t"), F.encode(sha, "utf-8")))
+
+
 _LOG = """with x as (
   select c_mktsegment as repo, o_orderkey, o_orderdate, o_orderpriority = '1-URGENT' as is_merge, l_returnflag = 'R' as moved, 40 + l_partkey % 60 as likeness, l_quantity, l_linenumber
   from orders join customer on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey),
@@ -104,7 +131,7 @@ def log_scan(s, d):
     """The orders, exported as a log and read back without merges, renames below 70 % as additions and deletions."""
     folder = _folder(s, "log")
     log_of_orders(s, d, folder)
-    rows = read_log(s, folder, rename_similarity=70).select("repo", "sha", F.inline("changes"))
+    rows = read_log(s, folder, rename_similarity=70).select("repo", _short("sha").alias("sha"), F.inline("changes"))
     sums = [F.sum(c).alias(c) for c in ("insertions", "deletions")]
     return rows.groupBy("repo", "change_type").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("sha").alias("commits"), *sums)
 
@@ -126,7 +153,7 @@ def log_stream(s, d):
     """Two triggers over a log that grows between them: each commit comes once, those of the first segment with the first."""
     folder, out, check = (_folder(s, tag) for tag in ("log", "log-table", "log-tips"))
     seen = read_log_batches(s, d, folder, out, check)
-    return seen.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.count_distinct("sha").alias("shas"), F.count_if(F.col("batch") == 0).alias("first_trigger"))
+    return seen.groupBy("repo").agg(F.count(F.lit(1)).alias("commits"), F.count_distinct(_short("sha")).alias("shas"), F.count_if(F.col("batch") == 0).alias("first_trigger"))
 
 
 def _move(s: SparkSession, of: str, to: str, segment: int) -> None:

@@ -6,12 +6,17 @@ that a large repository is read by many tasks; filters on repo and committed_at
 the second drops commits before their changes are parsed. A stream's offset is the set of tips: for each repository the
 segment, the length and the sha it was last read up to. What lies between two sets of tips is read once; where a log was
 rewritten, so that the known tip is not at its place, the repository is read anew, which loads by key skip.
+
+Segments may be gzip files (.gz), put into place whole or appended to by whole gzip members. Such a segment is one range, so
+that a large repository wants many of them; its tip is the trailer, which holds the checksum and length of what was packed.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from itertools import accumulate
 from typing import NamedTuple
 from urllib.parse import unquote
 
@@ -26,6 +31,8 @@ READ_BYTES = 1 << 20
 ROWS = 500
 #: How far back the record before a known tip is looked for.
 TAIL_BYTES = 1 << 22
+#: A byte of gzip stands for at most 1,032 of what was packed: places in a packed segment are numbered with that much room.
+PACKED, ROOM, TRAILER = ".gz", 1 << 11, 8
 
 _HEAD, _END = b"\x01", b"\x00"
 _CHANGE = "struct<path: string, change_type: string, old_path: string, similarity: long, insertions: long, deletions: long, is_binary: boolean>"
@@ -75,14 +82,16 @@ def segments(folder: str) -> list[Segment]:
         if info.type != fs.FileType.File or any(part.startswith(("_", ".")) for part in name.split("/")):
             continue
         top = name.split("/")[0]
-        repo = unquote(top[5:]) if top.startswith("repo=") else unquote(name.rpartition("/")[2].rpartition(".")[0] or name)
+        plain = name.removesuffix(PACKED)
+        repo = unquote(top[5:]) if top.startswith("repo=") else unquote(plain.rpartition("/")[2].rpartition(".")[0] or plain)
         found.append(Segment(repo, name, info.size))
     return sorted(found)
 
 
 def _records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(place, record) of the records that begin in [start, end); the last one may reach beyond end."""
-    file.seek(start)
+    if file.seekable():
+        file.seek(start)
     at, rest, inside = start, b"", False
     while True:
         piece = file.read(max(READ_BYTES, len(rest)))
@@ -100,6 +109,18 @@ def _records(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
             return
 
 
+def _placed(part: LogRange) -> Iterator[tuple[int, bytes]]:
+    """(number, record) of the records of a range; the range of a packed segment holds whole gzip members."""
+    store, path = _open(part.path)
+    with store.open_input_file(path) as file:
+        if path.endswith(PACKED):
+            base, found = part.base + part.start * ROOM, _records(pa.CompressedInputStream(file.get_stream(part.start, part.end - part.start), "gzip"), 0, sys.maxsize)
+        else:
+            base, found = part.base, _records(file, part.start, part.end)
+        for at, record in found:
+            yield base + at, record
+
+
 def _time(text: str) -> datetime:
     """A time with its offset; the epoch for what is none."""
     try:
@@ -132,22 +153,16 @@ class Options(NamedTuple):
 
 def _rows(part: LogRange, options: Options) -> Iterator[tuple]:
     """The commits of a range that options take, heads of fewer than nine fields left out."""
-    store, path = _open(part.path)
-    with store.open_input_file(path) as file:
-        for at, record in _records(file, part.start, part.end):
-            head, *items = record.rstrip(_END).decode("utf-8", "replace").split("\x00")
-            f = head.rstrip("\n").split("\x1f")
-            if len(f) < 9:
-                continue
-            parents, committed_at = f[1].split(), _time(f[7])
-            if (len(parents) > 1 and not options.merges) or not options.takes(committed_at):
-                continue
-            changes = [c for change in changes_of(items) for c in _split_renames(change, options.similarity)]
-            nr = part.base + at
-            yield (part.repo, -nr if options.newest else nr, f[0].strip(), parents, f[2], f[3].strip().lower(), _time(f[4]), f[5], f[6].strip().lower(), committed_at, f[8], f[9] if len(f) > 9 else "", len(parents) > 1, changes)
-
-
-_NAMES = [field.name for field in _CHANGES.value_type]
+    for nr, record in _placed(part):
+        head, *items = record.rstrip(_END).decode("utf-8", "replace").split("\x00")
+        f = head.rstrip("\n").split("\x1f")
+        if len(f) < 9:
+            continue
+        parents, committed_at = f[1].split(), _time(f[7])
+        if (len(parents) > 1 and not options.merges) or not options.takes(committed_at):
+            continue
+        changes = [c for change in changes_of(items) for c in _split_renames(change, options.similarity)]
+        yield (part.repo, -nr if options.newest else nr, f[0].strip(), parents, f[2], f[3].strip().lower(), _time(f[4]), f[5], f[6].strip().lower(), committed_at, f[8], f[9] if len(f) > 9 else "", len(parents) > 1, changes)
 
 
 def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +170,11 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
     def batch() -> pa.RecordBatch:
         *columns, changes = zip(*held, strict=True)
-        changes = [[dict(zip(_NAMES, change, strict=True)) for change in some] for some in changes]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([*columns, changes], _ARROW, strict=True)], schema=_ARROW)
+        kind, every = _CHANGES.value_type, [change for some in changes for change in some]
+        flat = zip(*every, strict=True) if every else [()] * kind.num_fields
+        structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, kind, strict=True)], fields=list(kind))
+        lists = pa.ListArray.from_arrays(pa.array(accumulate(map(len, changes), initial=0), pa.int32()), structs)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=False)), lists], schema=_ARROW)
 
     for row in rows:
         held.append(row)
@@ -168,13 +186,14 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _ranges(folder: str, found: list[Segment], split: int) -> list[LogRange]:
-    """Segments cut into ranges of split bytes; a repository's segments are numbered one after the other."""
+    """Segments cut into ranges of split bytes, packed ones as one; a repository's segments are numbered one after the other."""
     out, base, repo = [], 0, None
     for segment in found:
         base = base if segment.repo == repo else 0
         repo = segment.repo
-        out += [LogRange(repo, f"{folder.rstrip('/')}/{segment.name}", at, min(at + split, segment.size), base) for at in range(0, segment.size, split)]
-        base += segment.size
+        packed = segment.name.endswith(PACKED)
+        out += [LogRange(repo, f"{folder.rstrip('/')}/{segment.name}", at, min(at + split, segment.size), base) for split in [segment.size or 1 if packed else split] for at in range(0, segment.size, split)]
+        base += segment.size * (ROOM if packed else 1)
     return out
 
 
@@ -233,10 +252,13 @@ class LogStream(DataSourceStreamReader):
         return (segment.name, length, sha) if sha else None
 
     def _before(self, name: str, length: int) -> tuple[int, str]:
-        """(where it ends, sha) of the last whole record before a place in a segment; no sha where there is none."""
+        """(where it ends, sha) of the last whole record before a place in a segment, of a packed one the place and its trailer; no sha where there is none."""
         store, path = _open(f"{self.folder.rstrip('/')}/{name}")
         with store.open_input_file(path) as file:
             size = min(length, file.size())
+            if name.endswith(PACKED):
+                file.seek(max(0, size - TRAILER))
+                return (size, file.read(size - file.tell()).hex()) if size > TRAILER else (0, "")
             start = max(0, size - TAIL_BYTES)
             file.seek(start)
             tail = file.read(size - start)
@@ -303,13 +325,14 @@ def read_log(spark: SparkSession, folder: str, stream: bool = False, **options)
     return reader.options(**options).load()
 
 
-def write_log(commits: DataFrame, folder: str, mode: str = "error") -> None:
-    """Exports commits (repo, segment, nr, head, items) as segments of logs: head has the ten fields, items the records.
+def write_log(commits: DataFrame, folder: str, mode: str = "error", ranged: bool = False) -> None:
+    """Exports commits (repo, segment, nr, head, items) as packed segments of logs: head has the ten fields, items the records.
 
-    Commits lie in the order of nr; a segment of a repository is written by one task, so large repositories want many.
+    Commits are dealt out in ranges of nr, unless they are so already (ranged), and lie in the order of nr: each task writes a
+    part of every repository, and none a repository as a whole.
     """
     from pyspark.sql import functions as F
 
     record = F.concat(F.lit("\x01"), F.array_join(F.concat(F.array(F.array_join("head", "\x1f")), "items"), "\x00"))
-    rows = commits.select("repo", "segment", "nr", record.alias("value")).repartition("repo", "segment").sortWithinPartitions("repo", "segment", "nr")
-    rows.drop("nr").write.mode(mode).partitionBy("repo", "segment").option("lineSep", "\x00").text(folder)
+    rows = (commits if ranged else commits.repartitionByRange("nr")).sortWithinPartitions("repo", "segment", "nr")
+    rows.select("repo", "segment", record.alias("value")).write.mode(mode).partitionBy("repo", "segment").option("lineSep", "\x00").option("compression", "gzip").text(folder)

@@ -113,6 +113,62 @@ def test_two_triggers_give_each_commit_once(spark, tmp_path):
     assert trigger() == ["a", "b", "c", "d"]
 
 
+def test_packed_segments_are_read_as_plain_ones(spark, logs, tmp_path):
+    import gzip
+
+    columns = ["repo", "sha", "parents", "committed_at", "changes"]
+    rows = lambda folder: read_log(spark, folder, merges="true", split_bytes="1000").orderBy("repo", "nr").select(columns).collect()
+    plain = rows(logs)
+    for path in (tmp_path / "logs").glob("*/*/part-0"):
+        text = path.read_bytes()
+        half = text.index(b"\x01", len(text) // 2)
+        (path.parent / "part-0.gz").write_bytes(gzip.compress(text[:half]))
+        (path.parent / "part-1.gz").write_bytes(gzip.compress(text[half : half + 1]) + gzip.compress(text[half + 1 :]))
+        path.rename(tmp_path / f"plain-{path.parent.parent.name}-{path.parent.name}")
+    assert rows(logs) == plain and len(plain) == 800
+
+
+def test_tips_of_packed_segments(tmp_path):
+    import gzip
+
+    packed = lambda *records: gzip.compress("".join(records).encode())
+    folder = tmp_path / "repo=r"
+    folder.mkdir()
+    (folder / "s1.gz").write_bytes(packed(record("a"), record("b")))
+    stream = CommitLog({"path": str(tmp_path)})._of(LogStream)
+    shas = lambda a, b: [s for p in stream.partitions(a, b) for batch in stream.read(p) for s in batch.column("sha").to_pylist()]
+    first = stream.latestOffset()
+    assert shas(stream.initialOffset(), first) == ["a", "b"] and shas(first, first) == []
+    (folder / "s1.gz").write_bytes(packed(record("a"), record("b")) + packed(record("c")))
+    (folder / "s2.gz").write_bytes(packed(record("d")))
+    second = stream.latestOffset()
+    assert shas(first, second) == ["c", "d"]
+    (folder / "s2.gz").write_bytes(packed(record("e")))
+    assert shas(second, stream.latestOffset()) == ["a", "b", "c", "e"]
+
+
+def test_exports_take_little_room_in_any_number_of_turns(spark, sf_dir, tmp_path, monkeypatch):
+    import os
+
+    from lockstep.plans import sources
+
+    def export(lines):
+        monkeypatch.setattr(sources, "LINES", lines)
+        folder = f"{tmp_path}/{lines}"
+        sources.log_of_orders(spark, sf_dir, folder)
+        names = [f"{d}/{f}" for d, _, found in os.walk(folder) for f in found if f.startswith("part-")]
+        return read_log(spark, folder, merges="true"), names
+
+    (one, few), (turns, many) = export(10_000_000), export(1000)
+    assert all(name.endswith(".gz") for name in few) and len({name.split("/segment=")[1].split("/")[0] for name in many}) == 6
+    tables = sum(os.path.getsize(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem", "customer"))
+    assert sum(map(os.path.getsize, few)) < 4 * tables
+    key = F.substring_index("subject", " ", -1).cast("long")
+    rows = lambda found: [(r.repo, r.key, r.parents, r.changes) for r in found.withColumn("key", key).orderBy("repo", "nr").collect()]
+    assert rows(one) == rows(turns) and [r[:2] for r in rows(one)] == sorted(r[:2] for r in rows(one))
+    assert len(rows(one)) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
 def test_segments_are_moved_into_the_log_of_the_stream(spark, sf_dir, tmp_path):
     import os
 
