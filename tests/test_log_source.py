@@ -181,3 +181,14 @@ def test_segments_are_moved_into_the_log_of_the_stream(spark, sf_dir, tmp_path):
     left = [name for name in set(os.listdir(sources.shared_dir(spark))) - before if name.startswith("log-both")]
     copies = [f"{d}/{f}" for name in left for d, _, found in os.walk(f"{sources.shared_dir(spark)}/{name}") for f in found if f.startswith("part-")]
     assert len(left) == 1 and copies == []
+
+
+def test_bounds_are_pushed_into_packed_segments(spark, logs, tmp_path):
+    import gzip
+
+    for path in (tmp_path / "logs").glob("*/*/part-0"):
+        path.with_name("part-0.gz").write_bytes(gzip.compress(path.read_bytes()))
+        path.rename(tmp_path / f"plain-{path.parent.parent.name}-{path.parent.name}")
+    rows = read_log(spark, logs, merges="true").where("repo = 'q' and committed_at >= '2024-02-01 00:30:00' and committed_at < '2024-02-01 00:40:00'")
+    assert rows.count() == sum(30 <= k % 60 < 40 for k in range(200))
+    assert "committed_at#" not in rows._jdf.queryExecution().executedPlan().toString().split("Filter")[-1].split("\n")[0]
