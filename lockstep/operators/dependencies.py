@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounds, directory, ordinal, repo_ref, version_key
-from ..sinks.steps import step
+from ..sinks.steps import release, step
 from ..sources.manifests import PATH_ECOSYSTEMS
 from .coupling import epoch
 from .dominance import latest_below
@@ -17,6 +17,8 @@ from .dominance import latest_below
 #: What a declared string that is a floor begins with.
 FLOOR_SIGNS = ("^", "~", ">", "<", "=")
 MAX_VERSION = 200
+#: Versions that one commit alone is tagged with are broadcast up to so many.
+MAX_BROADCAST = 500_000
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -113,10 +115,6 @@ def with_version_key(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"version_key": key, "limit": F.when(only, ordinal(version_key(high)))})
 
 
-def _found(rows: DataFrame, by: DataFrame, name: str) -> DataFrame:
-    return rows.join(by.select("id", F.col("commit_id").alias(name)), "id", "left")
-
-
 def resolve_versions(rows: DataFrame, tags: DataFrame, commits: DataFrame, width: int = 12) -> DataFrame:
     """rows with dep_commit_id, resolution and adoption_seconds.
 
@@ -125,28 +123,40 @@ def resolve_versions(rows: DataFrame, tags: DataFrame, commits: DataFrame, width
     the one commit that tags of the version's key name (tag, or floor for a version that begins with a sign); the newest
     release below a ceiling, tagged at or before consumer_at. An upstream commit later than the consumer resolves nothing.
     """
+    spark = rows.sparkSession
     rows = step(with_version_key(rows), "bumps")
-    heads = commits.select(F.col("repo").alias("dep_repo"), F.substring("sha", 1, width).alias("_head"), "sha", "commit_id")
-    pinned = rows.where(F.length("dep_sha") >= width).withColumn("_head", F.substring("dep_sha", 1, width)).join(heads, ["dep_repo", "_head"])
-    pinned = pinned.where(F.col("sha").startswith(F.col("dep_sha"))).groupBy("id").agg(F.min_by("commit_id", "sha").alias("commit_id"))
-    known = tags.where("version_key is not null and commit_id is not null")
-    unique = known.groupBy(F.col("repo").alias("dep_repo"), "version_key").agg(F.count_distinct("commit_id").alias("_n"), F.min("commit_id").alias("commit_id")).where("_n = 1").drop("_n")
-    releases = known.select(F.col("repo").alias("dep_repo"), ordinal(F.col("version_key")).alias("_ordinal"), "commit_id", "tagged_at").where("_ordinal is not null")
-    asked = rows.where("limit is not null").select("id", F.col("dep_repo").alias("key"), F.col("consumer_at").alias("at"), F.col("limit").alias("below"))
-    # a release without a time is older than any request
-    releases = step(releases.withColumn("_at", F.coalesce("tagged_at", F.lit("0001-01-01").cast("timestamp"))), "releases")
-    best = latest_below(asked, releases.select(F.col("dep_repo").alias("key"), F.col("_ordinal").alias("ordinal"), F.col("_at").alias("at"))).where("ordinal is not null")
-    below = best.join(releases, (best["key"] == releases["dep_repo"]) & (best["ordinal"] == releases["_ordinal"]) & (releases["_at"] <= best["at"]))
-    below = below.groupBy("id").agg(F.max_by("commit_id", F.struct("ordinal", "commit_id")).alias("commit_id"))
-
-    rows = _found(_found(rows.join(unique.withColumnRenamed("commit_id", "_tag"), ["dep_repo", "version_key"], "left"), pinned, "_sha"), below, "_ceiling")
+    release(spark)
+    found = F.struct("commit_id", F.col("committed_at").alias("at"))
+    heads = commits.select(F.col("repo").alias("_repo"), "sha", found.alias("_sha"))
+    has_sha = F.coalesce(F.length("dep_sha") >= width, F.lit(False))
+    same = (F.col("dep_repo") == F.col("_repo")) & (F.substring("dep_sha", 1, width) == F.substring("sha", 1, width)) & F.col("sha").startswith(F.col("dep_sha"))
+    pinned = step(rows.where(has_sha).select("id", "dep_repo", "dep_sha").join(heads, same).groupBy("id").agg(F.min_by("_sha", "sha").alias("_sha")), "pinned")
+    known = tags.where("version_key is not null and commit_id is not null").select("repo", "version_key", "commit_id", "tagged_at")
+    known = step(known.join(commits.select("commit_id", "committed_at"), "commit_id", "left").withColumn("_found", found), "tags")
+    unique = known.groupBy(F.col("repo").alias("dep_repo"), "version_key").agg(F.count_distinct("commit_id").alias("_n"), F.min("_found").alias("_tag")).where("_n = 1").drop("_n")
+    unique = step(unique, "unique")
+    # of the releases of one ordinal the largest commit counts; a release without a time is older than any request
+    releases = known.withColumn("_ordinal", ordinal(F.col("version_key"))).where("_ordinal is not null")
+    releases = releases.select(F.col("repo").alias("key"), F.struct("_ordinal", "_found").alias("ordinal"), F.coalesce("tagged_at", F.lit("0001-01-01").cast("timestamp")).alias("at"))
+    below = F.struct(F.col("limit").alias("_ordinal"), F.lit(None).cast(known.schema["_found"].dataType).alias("_found"))
+    asked = rows.where("limit is not null").select("id", F.col("dep_repo").alias("key"), F.col("consumer_at").alias("at"), below.alias("below"))
+    release(spark)
+    best = latest_below(asked, releases).where("ordinal is not null").groupBy("id").agg(F.max("ordinal")["_found"].alias("_ceiling"))
+    best = step(best, "ceilings")
+    release(spark)
+
+    # only rows that asked for a sha or a ceiling are joined by id
+    by_id = has_sha | F.col("limit").isNotNull()
+    nothing = F.lit(None).cast(known.schema["_found"].dataType)
+    rows = rows.where(by_id).join(pinned, "id", "left").join(best, "id", "left").unionByName(rows.where(~by_id).withColumns({"_sha": nothing, "_ceiling": nothing}))
+    rows = rows.join(F.broadcast(unique) if unique.count() <= MAX_BROADCAST else unique, ["dep_repo", "version_key"], "left")
     sign = F.substring("version", 1, 1).isin(*FLOOR_SIGNS)
-    how = F.when(F.col("_sha").isNotNull(), "sha").when(F.col("_tag").isNotNull(), F.when(sign, "floor").otherwise("tag")).when(F.col("_ceiling").isNotNull(), "ceiling")
-    rows = rows.withColumns({"commit_id": F.coalesce("_sha", "_tag", "_ceiling"), "resolution": how})
-    rows = rows.join(commits.select("commit_id", F.col("committed_at").alias("_at")), "commit_id", "left")
-    fine = F.col("_at").isNotNull() & (F.col("_at") <= F.col("consumer_at"))
-    rows = rows.withColumns({"dep_commit_id": F.when(fine, F.col("commit_id")), "resolution": F.when(fine, F.col("resolution")), "adoption_seconds": F.when(fine, epoch("consumer_at") - epoch("_at"))})
-    return rows.drop("_sha", "_tag", "_ceiling", "_at", "commit_id", "limit", "_head")
+    there = lambda name: F.col(f"{name}.commit_id").isNotNull()
+    how = F.when(there("_sha"), "sha").when(there("_tag"), F.when(sign, "floor").otherwise("tag")).when(there("_ceiling"), "ceiling")
+    rows = rows.withColumns({"_found": F.when(there("_sha"), F.col("_sha")).when(there("_tag"), F.col("_tag")).otherwise(F.col("_ceiling")), "resolution": how})
+    fine = F.coalesce(F.col("_found.at") <= F.col("consumer_at"), F.lit(False))
+    rows = rows.withColumns({"dep_commit_id": F.when(fine, F.col("_found.commit_id")), "resolution": F.when(fine, F.col("resolution")), "adoption_seconds": F.when(fine, epoch("consumer_at") - epoch("_found.at"))})
+    return rows.drop("_sha", "_tag", "_ceiling", "_found", "limit")
 
 
 def affected_sources(changed: DataFrame, declared: DataFrame, bump_rows: DataFrame, edges: DataFrame) -> DataFrame:

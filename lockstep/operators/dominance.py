@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sinks.steps import step
+from ..sinks.steps import discard, step
 from .running import running
 
 WIDTH = 64
@@ -48,21 +48,25 @@ def latest_below(requests: DataFrame, points: DataFrame) -> DataFrame:
     both = both.unionByName(asked.select("key", F.col("below").alias("value"), F.lit(0).alias("kind"), "_id", "at"))
     # ranges of (key, value) instead of keys: one key may hold most of the rows
     ranges = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = step(both.repartitionByRange(ranges, "key", "value", "kind").withColumn("_range", F.spark_partition_id()), "order")
-    both = step(running(both, ["key"], F.col("_range"), ["value", "kind"], F.col("kind"), "r"), "numbers")
+    placed = step(both.repartitionByRange(ranges, "key", "value", "kind").withColumn("_range", F.spark_partition_id()), "order")
+    both = step(running(placed, ["key"], F.col("_range"), ["value", "kind"], F.col("kind"), "r"), "numbers")
+    discard(placed)
     points = both.where("kind = 1").select("key", "value", "at", "r")
     levels = _levels(points)
 
     node = lambda k: levels[k].withColumnRenamed("node", "_node")
-    met, climbing = [], both.where("kind = 0").select("_id", "key", "at", F.col("r").alias("place"))
+    climbs, met, climbing = [], [], both.where("kind = 0").select("_id", "key", "at", F.col("r").alias("place"))
     for k in range(len(levels)):
         rows = climbing.withColumn("_node", F.floor(F.col("place") / WIDTH)).join(node(k), ["key", "_node"], "left")
         rows = step(rows.select("_id", "key", "at", "_node", _last(F.pmod("place", F.lit(WIDTH))).alias("_child")), "climb")
+        climbs.append(rows)
         met.append(rows.where("_child is not null").select("_id", "key", "at", (F.col("_node") * WIDTH + F.col("_child")).alias("place")))
         climbing = rows.where("_child is null").select("_id", "key", "at", F.col("_node").alias("place"))
     found = met[-1]
     for k in range(len(levels) - 2, -1, -1):
         down = found.withColumnRenamed("place", "_node").join(node(k), ["key", "_node"])
         found = down.select("_id", "key", "at", (F.col("_node") * WIDTH + _last(F.lit(WIDTH))).alias("place")).unionByName(met[k])
-    found = found.join(points.select("key", F.col("r").alias("place"), F.col("value").alias("ordinal")), ["key", "place"]).select("_id", "ordinal")
+    found = step(found.join(points.select("key", F.col("r").alias("place"), F.col("value").alias("ordinal")), ["key", "place"]).select("_id", "ordinal"), "found")
+    for table in (both, *levels, *climbs):
+        discard(table)
     return given.join(found, "_id", "left").drop("_id")

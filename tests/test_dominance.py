@@ -84,3 +84,38 @@ def test_measures_replayed_by_brute_force(spark):
     assert measure_rates(got, 2).count() == 6
     nrs = {(r.repo, r.commit_id): r.nr for r in prompts(table).collect()}
     assert all(nrs[repo, k] == 1 + sum(b[0] == repo and b[1] < k for b in baskets) for repo, k, _ in baskets)
+
+
+def test_ceilings_among_many_releases_of_one_version_keep_no_steps(spark):
+    import os
+
+    from lockstep.operators.dependencies import resolve_versions
+    from lockstep.sinks.steps import shared_dir
+
+    rng = random.Random(3)
+    stamp = lambda name: F.timestamp_seconds(F.col(name)).alias(name)
+    dated = [(k, rng.randint(0, 50)) for k in range(300)]
+    commits = spark.createDataFrame([("r", f"{k:040x}", k, at) for k, at in dated], "repo string, sha string, commit_id long, committed_at long").select("repo", "sha", "commit_id", stamp("committed_at"))
+    tagged = [("r", rng.choice(["1.1", "1.2", "2"]), k, at if k % 7 else None) for k, at in dated[:250]] + [("r", "7", 299, 0), ("r", "1", 9999, 1)]
+    tags = spark.createDataFrame(tagged, "repo string, version_key string, commit_id long, tagged_at long").select("repo", "version_key", "commit_id", stamp("tagged_at"))
+    wanted = [(k, rng.randint(0, 50), rng.choice(["<1.2", "<2", "<3", "v7", "^7", "<1", "<1.1"]), f"{k:040x}"[: rng.choice([5, 40])] if k % 5 == 0 else None) for k in range(400)]
+    rows = spark.createDataFrame(wanted, "id long, consumer_at long, version string, dep_sha string").select("id", stamp("consumer_at"), F.lit("r").alias("dep_repo"), "version", "dep_sha")
+    before = set(os.listdir(shared_dir(spark)))
+    got = {r.id: (r.dep_commit_id, r.resolution, r.adoption_seconds) for r in resolve_versions(rows, tags, commits).collect()}
+    at, order = dict(dated), {"1": (1,), "1.1": (1, 1), "1.2": (1, 2), "2": (2,), "3": (3,), "7": (7,)}
+
+    def want(k, consumer, version, sha):
+        found, how = None, None
+        if sha and len(sha) >= 12 and k in at:
+            found, how = k, "sha"
+        elif version in ("v7", "^7"):
+            found, how = 299, "floor" if version[0] == "^" else "tag"
+        elif version[0] == "<":
+            good = [(order[v], c) for _, v, c, t in tagged if order[v] < order[version[1:]] and (t is None or t <= consumer)]
+            found, how = (max(good)[1], "ceiling") if good else (None, None)
+        fine = found in at and at[found] <= consumer
+        return (found, how, consumer - at[found]) if fine else (None, None, None)
+
+    assert got == {row[0]: want(*row) for row in wanted} and len({how for _, how, _ in got.values()}) == 5
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before}
+    assert not left & {"step-order", "step-numbers", "step-level-0", "step-climb"}
