@@ -119,3 +119,24 @@ def test_ceilings_among_many_releases_of_one_version_keep_no_steps(spark):
     assert got == {row[0]: want(*row) for row in wanted} and len({how for _, how, _ in got.values()}) == 5
     left = {name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before}
     assert not left & {"step-order", "step-numbers", "step-level-0", "step-climb"}
+
+
+def test_measures_replayed_in_turns_keep_no_offers(spark, monkeypatch):
+    import os
+
+    from lockstep.operators import replay
+    from lockstep.sinks.steps import shared_dir
+
+    rng = random.Random(8)
+    baskets = [(rng.choice("xy"), k, sorted(rng.sample(range(7), rng.randint(1, 4)))) for k in range(70)]
+    table = spark.createDataFrame(baskets, "repo string, commit_id long, items array<long>").withColumn("committed_at", F.timestamp_seconds(F.col("commit_id") * 900_000))
+    rows = lambda: sorted(map(tuple, replay.replay_measures(table, ["confidence_ab", "jaccard"], k=2, warmup=5).collect()), key=str)
+    once, made = rows(), []
+    monkeypatch.setattr(replay, "EVENTS", 200)
+    monkeypatch.setattr(replay, "OFFERS", 100)
+    told = replay._told
+    monkeypatch.setattr(replay, "_told", lambda *x: made.append(1) or told(*x))
+    before = set(os.listdir(shared_dir(spark)))
+    assert rows() == once and len(made) > 2
+    left = [name.rsplit("-", 1)[0] for name in set(os.listdir(shared_dir(spark))) - before]
+    assert left.count("step-hits") == len(made) and not {"step-offers", "step-versions"} & set(left)
